@@ -3,13 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tektonis.llm import sentences
+from tektonis.llm import canon, scans, sentences
 from tektonis.sources import table
 
 
+def _typed_values(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, row_id, node, kind, value) of every freely entered value; redelivered rows count once."""
+    floors = table(spark, sf, "tabula_floor_renovation")
+    english = floors.where(F.col("english").isNotNull()).select(F.lit("english").alias("src"), F.col("case_id").alias("row_id"), F.lit("").alias("node"), F.lit("construction").alias("kind"), F.col("english").alias("value"))
+    a = floors.select("case_id", F.posexplode("renovation_states").alias("i", "state"))
+    b = a.select("case_id", "i", F.posexplode("state.layer_sets").alias("j", "set"))
+    c = b.select("case_id", "i", "j", F.posexplode("set.layers").alias("k", "layer"))
+    node = F.concat_ws("/", *[(F.col(x) + 1).cast("string") for x in "ijk"])
+    category = c.select(F.lit("category").alias("src"), F.col("case_id").alias("row_id"), node.alias("node"), F.lit("category").alias("kind"), F.col("layer.predicted_category_iri").alias("value"))
+    sets = table(spark, sf, "material_alternatives").select("set_id", F.posexplode("layers").alias("k", "layer"))
+    function = sets.select(F.lit("function").alias("src"), F.col("set_id").alias("row_id"), (F.col("k") + 1).cast("string").alias("node"), F.lit("function").alias("kind"), F.col("layer.predicted_function_iri").alias("value"))
+    iris = table(spark, sf, "vocabulary").select(F.col("iri").alias("value")).where(F.col("value").isNotNull()).distinct()
+    # the anti join's right side is the reference list
+    coded = category.unionByName(function).where(F.col("value").isNotNull() & F.col("value").rlike(r"\S")).join(iris, "value", "left_anti")
+    return english.unionByName(coded.select(*english.columns)).distinct()
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    got = canon.map_to_reference(_typed_values(spark, sf), table(spark, sf, "vocabulary"))
+    return got.select("src", "row_id", "node", "ref_id")
+
+
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The values that no entry is meant by, with the number of their places."""
+    got = canon.map_to_reference(_typed_values(spark, sf), table(spark, sf, "vocabulary"))
+    return got.where("ref_id = 0").groupBy("src", "value").agg(F.count("*").alias("places"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repair(table(spark, sf, "page_boxes"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p8_found)}
