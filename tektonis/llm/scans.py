@@ -7,7 +7,7 @@ All counts are distributed sums over all pages. Words are matched as distinct wo
 Defined results
     null, empty and blank texts     no fault
     a single line                   no header and no page number: the value itself may be a number
-    null page header                headers are found by their repetition in other boxes only
+    null page header                the titles of the scan's other pages serve; without any, only repeated headings are found
     null printed page               page numbers only where dressed as such
     very long text                  one linear pass; no length limit
     ties between candidates         the more frequent word, then the first in code point order
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tektonis.runtime import cut, spread
+from tektonis.runtime import cut, spread, too_big
 
 # Characters that a reader of scans takes for one another, as (what is written, what is read).
 CONFUSIONS = (
@@ -44,7 +44,7 @@ HYPHENS = "-‐‑¬­–"
 _BREAK = re.compile(rf"([^\W\d_][\w'’./]*(?:-[\w]+)*?)[{HYPHENS}]\s*$")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'„“”‚‘’«»‹›()[]{}<>.,;:!?…*•_|=~"
-_PAGE = re.compile(r"^\W*(?:(?P<word>Seite|S|Bl|Blatt|Page|page|p|pag|Pag|Sheet|SEITE|BLATT|seite|blatt|Selte|8eite|5eite|Scite|Seile|Seitc)\b\.?\s*)?(?P<n>[\dOoIlZSBz|]{1,5})(?P<of>\s*(?:von|of|/|aus|vori|vo11|vcn|van)\s*[\dOoIlZSBz|]{1,5})?\W*$")
+_PAGE = re.compile(r"^[\W_]*(?:(?P<word>Seite|S|Bl|Blatt|Page|page|p|pag|Pag|Sheet|SEITE|BLATT|seite|blatt|Selte|8eite|5eite|Scite|Seile|Seitc)\b\.?\s*)?(?P<n>[\dOoIlZSBz|]{1,5})(?P<of>\s*(?:von|of|/|aus|vori|vo11|vcn|van)\s*[\dOoIlZSBz|]{1,5})?[\W_]*$")
 _SECTION = re.compile(r"^\s*(?P<sec>[\dlIOoSZB]{1,2}(?:[.,][\dlIOoSZB]{1,2}){1,3})\.?\s+(?P<title>\S.*)$")
 _CONJUNCTIONS = {"und", "oder", "bis", "sowie", "bzw", "bzw.", "als", "noch", "and", "or", "to"}
 
@@ -189,18 +189,20 @@ def words_of(lines: list[str], kinds: list[str]) -> list[tuple[str, int, bool, b
 
 # --- numbers and codes ----------------------------------------------------------------------------------------------
 
+# Words that a figure stands before.
+_COUNTED = {"mm", "cm", "m", "km", "°C", "%", "Monaten", "Monate", "Tage", "Tagen", "Lagen", "m²", "W/(m²K)"}
 _NUMERIC = re.compile(r"^[\dOoIlZSB]+(?:[.,/][\dOoIlZSB]+)*$")
 _CODE = re.compile(r"^([A-Z0-9]{1,3})-([\dOoIlZSB]+)$")
 
 
-def repaired_number(w: str) -> str | None:
-    """A figure with its misread digits put right; None if the word is no figure or has none."""
+def repaired_number(w: str, after: str = "") -> str | None:
+    """A figure with its misread digits put right; None if the word is no figure or has none. A figure without any digit left is known by the unit after it."""
     m = _CODE.match(w)
     if m and any(c.isdigit() for c in m[2]) and len(m[2]) > 1:
         head = m[1].translate(str.maketrans("0158", "OISB"))
         got = f"{head}-{m[2].translate(_AS_DIGIT)}"
         return got if got != w else None
-    if _NUMERIC.match(w) and any(c.isdigit() for c in w) and not w.isdigit():
+    if _NUMERIC.match(w) and (any(c.isdigit() for c in w) or after in _COUNTED) and not w.isdigit():
         got = w.translate(_AS_DIGIT)
         return got if got != w else None
     return None
@@ -219,12 +221,16 @@ def deletes(word: str, reach: int = 2, prefix: int = 7) -> set[str]:
     return out
 
 
-def values(boxes: DataFrame, key: str = "box_id", text: str = "properties") -> DataFrame:
-    """(key, prop, value, titles, page), one row per text; redelivered rows count once."""
-    header = "page_header"
-    titles = F.array_distinct(F.array_compact(F.array(*[F.col(f"{header}.{a}.title") for a in ("main_section", "subseries")])))
-    rows = boxes.select(F.col(key).alias("key"), titles.alias("titles"), F.col("printed_page").alias("page"), F.explode(F.col(text)).alias("prop", "value"))
-    return rows.where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
+def values(boxes: DataFrame, key: str = "box_id", text: str = "properties", scan: str = "scan_id") -> DataFrame:
+    """(key, prop, value, titles, page), one row per text; redelivered rows count once. The titles are those of all page headers of the scan."""
+    titles = F.array_compact(F.array(*[F.col(f"page_header.{a}.title") for a in ("main_section", "subseries")]))
+    rows = boxes.select(F.col(key).alias("key"), F.col(scan).alias("scan"), titles.alias("own"), F.col("printed_page").alias("page"), F.explode(F.col(text)).alias("prop", "value"))
+    rows = rows.where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
+    # a scan is one book: its main titles are few, and distinct before they are gathered
+    books = boxes.select(F.col(scan).alias("scan"), F.col("page_header.main_section.title").alias("title")).where(F.col("scan").isNotNull() & F.col("title").isNotNull()).distinct()
+    books = books.groupBy("scan").agg(F.sort_array(F.collect_set("title")).alias("titles"))
+    rows = rows.join(books, "scan", "left")
+    return rows.select("key", "prop", "value", F.array_union(F.coalesce("titles", F.array().cast("array<string>")), F.coalesce("own", F.array().cast("array<string>"))).alias("titles"), "page")
 
 
 def section_titles(rows: DataFrame, least: int = 5) -> DataFrame:
@@ -247,6 +253,25 @@ def section_titles(rows: DataFrame, least: int = 5) -> DataFrame:
     return rows.select("value", "page").mapInPandas(find, "title string, n bigint").groupBy("title").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("title")
 
 
+def _own_titles(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows with the headings among their own numbered lines in the column `heads`."""
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, prop, value, page in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["page"]):
+                for line in value.split("\n"):
+                    m = _SECTION.match(_strip_page(line, None if page is None or page != page else int(page)))
+                    if m:
+                        out.append((k, prop, header_key(m["title"])))
+            yield pd.DataFrame(out, columns=["key", "prop", "title"])
+
+    own = rows.select("key", "prop", "value", "page").mapInPandas(lines, f"key {kind}, prop string, title string").distinct()
+    own = own.join(heads, "title").groupBy("key", "prop").agg(F.collect_set("title").alias("heads"))
+    return rows.join(own, ["key", "prop"], "left")
+
+
 def _read_words(rows: DataFrame, known: frozenset[str]) -> DataFrame:
     """(key, prop, line_no, kind, word, before, after, first, second): every word in its place, and every header and page line."""
     kind_of_key = rows.schema["key"].dataType.simpleString()
@@ -255,11 +280,12 @@ def _read_words(rows: DataFrame, known: frozenset[str]) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, prop, value, titles, page in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["titles"], pdf["page"]):
+            heads = pdf["heads"] if "heads" in pdf else [None] * len(pdf)
+            for key, prop, value, titles, page, own in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["titles"], pdf["page"], heads):
                 if value.lstrip()[:1] == "{":
                     continue  # a small JSON object, no scanned text
                 lines = value.split("\n")
-                kinds = classify(lines, tuple(titles if titles is not None else ()), None if page is None or page != page else int(page), known)
+                kinds = classify(lines, tuple(titles if titles is not None else ()), None if page is None or page != page else int(page), known if own is None else set(own))
                 out += [(key, prop, i, k, "", "", "", "", "") for i, k in enumerate(kinds, 1) if k in ("header", "page_no")]
                 words = words_of(lines, kinds)
                 plain = [w + s if broken else w for w, _, broken, _, s in words]
@@ -300,10 +326,15 @@ def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: flo
     return pairs.mapInPandas(measure, "word string, n bigint, meant string, meant_n bigint, cost double")
 
 
-def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties") -> DataFrame:
+def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000) -> DataFrame:
     """(key, prop, line_no, kind, repaired), one row per fault."""
     rows = spread(values(boxes, key, text), "key")
-    known = frozenset(r.title for r in section_titles(rows).collect())  # headings printed on many pages; their number is that of the books' chapters
+    heads = cut(section_titles(rows))
+    known = frozenset(r.title for r in heads.limit(title_limit).collect())
+    if too_big(heads, title_limit):
+        # more headings than may be sent to every worker: each value gets those of its own lines that are headings
+        rows = _own_titles(rows, heads)
+        known = frozenset()
     words = cut(_read_words(rows, known))
     lex = cut(lexicon(words))
     lines = words.where(F.col("kind").isin("header", "page_no")).select("key", "prop", "line_no", "kind", F.lit("").alias("repaired"))
@@ -342,10 +373,11 @@ def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties") -> D
     hyph = hyph.select("key", "prop", "line_no", F.lit("hyphen").alias("kind"), F.coalesce("meant", "word").alias("repaired"))
 
     @F.pandas_udf("string")
-    def number(w: pd.Series) -> pd.Series:
-        return w.map(repaired_number)
+    def number(w: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([repaired_number(a, b) for a, b in zip(w, after)], dtype=object)
 
-    figures = lex.where(F.col("word").rlike(r"[0-9]") & F.col("word").rlike(r"[A-Za-z]")).select("word").withColumn("meant", number("word")).where(F.col("meant").isNotNull())
-    digits = plain.join(figures, "word").select("key", "prop", "line_no", F.lit("char").alias("kind"), F.col("meant").alias("repaired"))
+    figures = plain.where(F.col("word").rlike(r"^([A-Z0-9]{1,3}-)?[0-9OoIlZSB.,/]+$") & F.col("word").rlike(r"[A-Za-z]"))
+    figures = figures.withColumn("repaired", number("word", "after")).where(F.col("repaired").isNotNull())
+    digits = figures.select("key", "prop", "line_no", F.lit("char").alias("kind"), "repaired")
     out = lines.unionByName(hyph).unionByName(chars).unionByName(digits)
     return out.distinct().withColumnRenamed("key", key)
