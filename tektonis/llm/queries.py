@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tektonis.llm import canon, scans, sentences
+from tektonis.llm import canon, leaks, mixing, scans, sentences
 from tektonis.sources import table
 
 
@@ -41,8 +41,47 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repair(table(spark, sf, "page_boxes"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = mixing.with_token_counts(table(spark, sf, "documents"), "doc_id", "text", keep=("source",))
+    return mixing.mix(docs, table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The selected documents with the number of their copies."""
+    return _mixed(spark, sf)[0].select("doc_id", "source", "n_tokens", "copies")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached, in tokens."""
+    got = _mixed(spark, sf)[1]
+    return got.select("source", "target_share", "max_repeat", "documents", "selected", F.round("share", 6).alias("share"))
+
+
+def p7_mix_chars(spark: SparkSession, sf: str) -> DataFrame:
+    """The same selection with sizes in characters, which SQL can count too."""
+    docs = table(spark, sf, "documents").where(F.col("text").isNotNull())
+    return mixing.mix(docs, table(spark, sf, "mix_targets"), size="n_chars")[0].select("doc_id", "source", "n_chars", "copies")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p6_found, p7_mix, p7_shares, p7_mix_chars, p8_found)}
+
+SQL = {
+    "p7_mix_chars": """
+        WITH d AS (SELECT doc_id, source, n_chars, CAST('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS rnd
+                   FROM documents WHERE text IS NOT NULL AND n_chars > 0 AND source IN (SELECT source FROM mix_targets)),
+        s AS (SELECT source, CAST(sum(n_chars) AS DOUBLE) AS size FROM d GROUP BY source),
+        q AS (SELECT source, size, max_repeat, target_share / sum(target_share) OVER () AS share FROM mix_targets JOIN s USING (source) WHERE target_share > 0),
+        b AS (SELECT source, size, CAST(floor(least(min(size * max_repeat / share) OVER () * share + 1e-6, size * max_repeat)) AS BIGINT) AS budget FROM q),
+        e AS (SELECT source, CAST(floor(budget / size) AS BIGINT) AS epochs, budget - CAST(floor(budget / size) AS BIGINT) * CAST(size AS BIGINT) AS rest FROM b),
+        p AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY rnd, doc_id ROWS UNBOUNDED PRECEDING) AS place FROM d),
+        r AS (SELECT doc_id, source, n_chars, epochs + CASE WHEN place <= rest THEN 1 ELSE 0 END AS copies FROM p JOIN e USING (source))
+        SELECT doc_id, source, n_chars, copies FROM r WHERE copies > 0""",
+}
