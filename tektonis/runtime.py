@@ -47,3 +47,17 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
 def too_big(df: DataFrame, limit: int) -> bool:
     """Whether a DataFrame has more than `limit` rows, found without counting it whole."""
     return df.limit(limit + 1).count() > limit
+
+
+def number_distinct(values: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): distinct values numbered from 0 in their order, without bringing them into one task.
+
+    Values are split into ranges and materialised; the ranges' counts, one row each, give the offsets."""
+    from pyspark.sql import Window
+
+    parts = cut(values.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(column))
+    return parts.withColumn("_no", within).join(offsets, "_part").select(column, (F.col("_no") + F.col("_offset") - 1).cast("bigint").alias(name))
