@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tektonis.operators.matching import substring_join
+
 LABEL_WEIGHT, FULL_WEIGHT, BOOST = 0.70, 0.30, 0.95
 
 
@@ -90,8 +92,9 @@ def hierarchical(parents: DataFrame, types: DataFrame, membership: DataFrame, th
 
 
 def boost(hints: DataFrame, matches: DataFrame, rules: DataFrame, key: str = "query_id", item: str = "item") -> DataFrame:
-    """Matches plus a fixed-score row for each rule (token, item) whose token the hint contains and whose item is not matched yet; tokens must be few."""
-    hit = hints.join(F.broadcast(rules), F.contains(F.lower(hints["hint"]), rules["token"])).select(key, item).distinct()
+    """Matches plus a fixed-score row for each rule (token, item) whose token the hint contains and whose item is not matched yet."""
+    found = substring_join(hints.withColumn("hint", F.lower("hint")), key, "hint", rules, "token")
+    hit = found.join(rules.distinct(), "token").select(key, item).distinct()
     new = hit.join(matches.select(key, item).distinct(), [key, item], "left_anti").withColumn("score", F.lit(BOOST))
     return matches.select(key, item, "score").unionByName(new)
 

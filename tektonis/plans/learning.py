@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tektonis.functions import layout as lines
 from tektonis.functions import text
-from tektonis.operators import features, impact, layout, ontology, retrieval, validate
+from tektonis.operators import features, impact, layout, matching, ontology, retrieval, validate
 from tektonis.plans.registry import Registry
 from tektonis.sources import table
 
@@ -256,10 +256,9 @@ def transe_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("""WITH n AS (SELECT p_partkey, lower(p_name) AS name FROM part), k AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part) SELECT p_partkey, word FROM n JOIN k ON contains(name, word)""")
 def theta_key_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Names and the key words they contain; the key words are distinct first words, a bounded vocabulary, so the substring join is a broadcast loop."""
     n = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    k = table(spark, sf, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word")).distinct()
-    return n.join(k, F.contains("name", "word")).select("p_partkey", "word")
+    k = table(spark, sf, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("word"))
+    return matching.substring_join(n, "p_partkey", "name", k, "word")
 
 
 @R.add("SELECT DISTINCT props, coalesce(TRY_CAST(props AS DOUBLE), list_avg(list_transform(regexp_extract_all(props, '\\d+(?:\\.\\d+)?'), lambda x: CAST(x AS DOUBLE))), 1.0) AS v FROM events")
