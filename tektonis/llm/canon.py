@@ -195,7 +195,7 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
     sums = best.groupBy("kind", "value", "doc", "form", "name_id").agg(F.sum(F.col("b.sim") * F.col("b.idf") * F.col("b.idf")).alias("dot"), F.sum(F.col("b.idf") * F.col("b.idf")).alias("square"), F.count_if(~F.col("weak")).alias("met"))
     size = docs.groupBy("kind", "value", "doc").agg(F.count_if(~F.col("weak")).alias("size"))
     most = idf.groupBy("kind").agg(F.max("most").alias("most"))  # one row a kind
-    scored = sums.join(size, ["kind", "value", "doc"]).join(norms, ["kind", "name_id", "form"]).join(F.broadcast(most), "kind")
+    scored = sums.where("met > 0").join(size, ["kind", "value", "doc"]).join(norms, ["kind", "name_id", "form"]).join(F.broadcast(most), "kind")
     # tokens without a partner weigh as much as the rarest
     scored = scored.withColumn("score", F.col("dot") / (F.col("norm") * F.sqrt(F.col("square") + (F.col("size") - F.col("met")) * F.col("most") * F.col("most"))))
     scored = scored.join(names.select("name_id", "ref_id"), "name_id").where(F.col("score") >= threshold)
