@@ -152,14 +152,17 @@ def reference_names(reference: DataFrame) -> DataFrame:
     syn = spark.createDataFrame(extra, "kind string, local_name string, name string")  # the fixed list of terms.py
     syn = syn.join(reference.select("kind", "local_name", "ref_id"), ["kind", "local_name"]).select("kind", "ref_id", "name")
     other = spark.createDataFrame([(k, 0, name) for k, names in OTHER.items() for name in names], "kind string, ref_id bigint, name string")
-    return own.select("kind", "ref_id", "name").unionByName(syn).unionByName(other).distinct()
+    out = own.select("kind", "ref_id", "name").unionByName(syn).unionByName(other)
+    # umlauts are also typed, or lost, as their base letters
+    bare = out.withColumn("name", F.translate("name", "äöüÄÖÜ", "aouAOU"))
+    return out.unionByName(bare).distinct()
 
 
 def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(kind, value, ref_id, score) of distinct (kind, value); values without an entry near enough are left out."""
     names = names.withColumn("name_id", F.xxhash64("kind", "ref_id", "name"))
     whole = F.when(F.col("form").startswith("whole"), "whole").otherwise(F.col("form"))
-    ref = cut(_documents(names.withColumnRenamed("name", "text"), "name_id", "text").withColumn("form", whole).drop("weak").distinct())
+    ref = cut(_documents(names.withColumnRenamed("name", "text"), "name_id", "text").withColumn("name_doc", F.xxhash64("name_id", "form")).withColumn("form", whole).drop("weak").distinct())
     docs = cut(_documents(spread(values.select("kind", "value")), "value", "value").withColumn("doc", F.col("form")).withColumn("form", whole).distinct())
 
     # inverse document frequencies over the names of a kind
@@ -167,7 +170,7 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
     idf = ref.groupBy("kind", "form", "token").agg(F.countDistinct("name_id").alias("df")).join(F.broadcast(total), "kind")
     idf = idf.select("kind", "form", "token", F.log(1 + F.col("names") / F.col("df")).alias("idf"), F.log(1 + F.col("names")).alias("most"))
     weighted = ref.join(idf, ["kind", "form", "token"])
-    norms = weighted.groupBy("kind", "name_id", "form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    norms = weighted.groupBy("kind", "name_doc", "name_id", "form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
 
     # distinct tokens within reach of each other
     def keyed(make):
@@ -190,12 +193,12 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
     near = pairs.mapInPandas(measure, "kind string, form string, token string, meant string, sim double")
 
     # soft TF-IDF: each token of the value counts with its best partner in the name
-    hits = docs.join(near, ["kind", "form", "token"]).join(weighted.select("kind", "form", F.col("token").alias("meant"), "name_id", "idf").distinct(), ["kind", "form", "meant"])
-    best = hits.groupBy("kind", "value", "doc", "form", "name_id", "place", "weak").agg(F.max(F.struct("sim", "idf")).alias("b"))
-    sums = best.groupBy("kind", "value", "doc", "form", "name_id").agg(F.sum(F.col("b.sim") * F.col("b.idf") * F.col("b.idf")).alias("dot"), F.sum(F.col("b.idf") * F.col("b.idf")).alias("square"), F.count_if(~F.col("weak")).alias("met"))
+    hits = docs.join(near, ["kind", "form", "token"]).join(weighted.select("kind", "form", F.col("token").alias("meant"), "name_doc", "idf").distinct(), ["kind", "form", "meant"])
+    best = hits.groupBy("kind", "value", "doc", "form", "name_doc", "place", "weak").agg(F.max(F.struct("sim", "idf")).alias("b"))
+    sums = best.groupBy("kind", "value", "doc", "form", "name_doc").agg(F.sum(F.col("b.sim") * F.col("b.idf") * F.col("b.idf")).alias("dot"), F.sum(F.col("b.idf") * F.col("b.idf")).alias("square"), F.count_if(~F.col("weak")).alias("met"))
     size = docs.groupBy("kind", "value", "doc").agg(F.count_if(~F.col("weak")).alias("size"))
     most = idf.groupBy("kind").agg(F.max("most").alias("most"))  # one row a kind
-    scored = sums.where("met > 0").join(size, ["kind", "value", "doc"]).join(norms, ["kind", "name_id", "form"]).join(F.broadcast(most), "kind")
+    scored = sums.where("met > 0").join(size, ["kind", "value", "doc"]).join(norms, ["kind", "name_doc", "form"]).join(F.broadcast(most), "kind")
     # tokens without a partner weigh as much as the rarest
     scored = scored.withColumn("score", F.col("dot") / (F.col("norm") * F.sqrt(F.col("square") + (F.col("size") - F.col("met")) * F.col("most") * F.col("most"))))
     scored = scored.join(names.select("name_id", "ref_id"), "name_id").where(F.col("score") >= threshold)
