@@ -73,3 +73,45 @@ def ends_with_page(line: Column) -> Column:
     """The page number at the end of a contents line, misread digits put right; null if there is none."""
     tail = digits(F.regexp_extract(line, r"(?:\s|\.)([0-9SsiIl|Oo]{1,3})\s*$", 1))
     return tail.try_cast("int")
+
+
+def section_header(line: Column) -> Column:
+    """Struct (section, title) of a numbered header line, misread digits put right; null for other lines."""
+    pattern = r"^\s*([0-9SsiIl|Oo]{1,2}(?:\.[0-9SsiIl|Oo]{1,2}){0,2})\.?\s+(\p{Lu}.*)$"
+    number = digits(F.regexp_extract(line, pattern, 1))
+    return F.when(F.rlike(line, F.lit(pattern)) & F.rlike(number, F.lit(r"^\d+(\.\d+)*$")), F.struct(number.alias("section"), F.trim(F.regexp_extract(line, pattern, 2)).alias("title")))
+
+
+def line_kind(line: Column) -> Column:
+    """'section', 'page', 'key' or 'text'."""
+    return F.when(F.rlike(F.trim(line), F.lit(r"^[\-–\[(]*\s*[0-9SsiIl|Oo]{1,3}\s*[\-–\])]*$")), "page").when(section_header(line).isNotNull(), "section").when(is_key_line(line), "key").otherwise("text")
+
+
+def wall(value: Column) -> Column:
+    """Struct (raw, thickness, material, layers) of a wall property."""
+    thick = F.regexp_extract_all(value, F.lit(r"(?i)\d+(?:[.,]\d+)?\s*(?:mm|cm|m)\b"), F.lit(0))
+    low = F.lower(value)
+    material = F.when(F.contains(low, F.lit("beton")), "concrete").when(F.contains(low, F.lit("ziegel")), "brick").when(F.contains(low, F.lit("gips")), "gypsum")
+    layers = F.when(F.contains(low, F.lit("dreischicht")), 3).when(F.contains(low, F.lit("zweischicht")), 2).when(F.contains(low, F.lit("einschicht")), 1)
+    return F.struct(value.alias("raw"), F.try_element_at(thick, F.lit(1)).alias("thickness"), material.alias("material"), layers.alias("layers"))
+
+
+def measurement(value: Column) -> Column:
+    """A measure with one space before its unit and a decimal comma."""
+    return F.regexp_replace(F.regexp_replace(value, r"(\d)\s*(mm|cm|m)\b", "$1 $2"), r"(\d)\.(\d)", "$1,$2")
+
+
+def pick_field(properties: Column, needles: list[str]) -> Column:
+    """The value of the first key, in code point order, that contains one of the needles when both are folded."""
+    keys = F.array_sort(F.filter(F.map_keys(properties), lambda k: F.exists(F.array(*map(F.lit, needles)), lambda n: F.contains(lookup_key(k), n))))
+    return F.try_element_at(properties, F.try_element_at(keys, F.lit(1)))
+
+
+def rename_sections(sections: Column) -> Column:
+    """Sections (section, title, properties) as (id, title, data)."""
+    return F.transform(sections, lambda s: F.struct(s["section"].alias("id"), s["title"].alias("title"), s["properties"].alias("data")))
+
+
+def contents_label(section: Column, title: Column, page: Column) -> Column:
+    """'1.2 Title ... 7' with what is known."""
+    return F.trim(F.concat_ws(" ", section, title, F.when(page.isNotNull(), F.concat(F.lit("... "), page.cast("string")))))

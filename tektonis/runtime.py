@@ -61,3 +61,20 @@ def number_distinct(values: DataFrame, column: str, name: str) -> DataFrame:
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(column))
     return parts.withColumn("_no", within).join(offsets, "_part").select(column, (F.col("_no") + F.col("_offset") - 1).cast("bigint").alias(name))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per context, wherever they run."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tektonis_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="tektonis-package-")) / "tektonis.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(to))
+    sc._tektonis_shipped = True
