@@ -65,7 +65,7 @@ def window_size(n: int) -> int:
 class Walks:
     """Random walks and samples; equal for equal parameters, so that every worker has the same ones."""
 
-    def __init__(self, embeddings: int = 3, tables: int = 4, sample: float = 0.28, seed: int = 20240611):
+    def __init__(self, embeddings: int = 2, tables: int = 4, sample: float = 0.28, seed: int = 20240611):
         rng = np.random.default_rng(seed)
         self.steps = int(WINDOWS[-1] * PACE)
         self.bits = rng.integers(0, 2, size=(embeddings, self.steps, 256), dtype=np.int32)
@@ -89,16 +89,19 @@ class Walks:
                 c = sym[at]
                 walk[j] = c
                 at += self.bits[e, j][c]
+            scaled = walk.astype(np.uint64) + np.uint64(1)
             for t, (emb, w, places, mult) in enumerate(self.tables):
                 if emb != e or (windows is not None and w not in windows):
                     continue
-                rows = np.flatnonzero(room >= w)
-                if not len(rows):
+                fits = room >= w
+                if not fits.any():
                     continue
-                key = np.full(len(rows), (t + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+                key = np.full(len(starts), (t + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
                 for p, m in zip(places, mult):
-                    key += (walk[p, rows].astype(np.uint64) + np.uint64(1)) * m
+                    key += scaled[p] * m
                     key ^= key >> np.uint64(29)
+                rows = np.flatnonzero(fits)
+                key = key[rows]
                 yield t, rows, key
 
 
@@ -171,6 +174,15 @@ def gram_hashes(chars: np.ndarray) -> np.ndarray:
     return out
 
 
+def dense(hits: np.ndarray, width: int, least: float) -> np.ndarray:
+    """Where stretches of `width` q-grams begin of which the share `least` is met.
+
+    A stretch of which a word in eight is altered keeps more: each altered word of six characters breaks eleven of its q-grams at most."""
+    width = max(1, min(width, len(hits)))
+    sums = np.concatenate([[0], np.cumsum(hits)])
+    return np.flatnonzero(sums[width:] - sums[:-width] >= least * width)
+
+
 def local_alignment(item: str, doc: str, penalty: int = 4) -> tuple[int, int, list[tuple[int, bool]]]:
     """(first, end, edits) of the item's part in the best local alignment, where an edit costs as much as `penalty` equal characters earn. An edit is its place in the item and whether it inserts."""
     a, b = codes(item), codes(doc)
@@ -222,8 +234,8 @@ def leaked(item: str, starts: list[int], doc: str, share: float = 0.5, altered:
     return len(words) <= max(1, altered * n)
 
 
-def candidates(docs: list[tuple], index: ItemIndex, least: float = 0.37) -> Iterator[tuple]:
-    """(document key, item, text of the document in one form) of pairs that share a window key and enough q-grams."""
+def candidates(docs: list[tuple], index: ItemIndex, least: float = 0.6) -> Iterator[tuple]:
+    """(document key, item, part of the document in one form) of pairs that share a window key and enough q-grams."""
     chars, starts, room, owner, forms = [], [], [], [], []
     base = 0
     for key, text in docs:
@@ -249,17 +261,26 @@ def candidates(docs: list[tuple], index: ItemIndex, least: float = 0.37) -> Iter
                 pairs[n].add(i)
         if n not in pairs:
             continue
-        mine = np.unique(gram_hashes(codes(s)))
+        grams = gram_hashes(codes(s))
+        mine = np.unique(grams)
         for i in sorted(pairs[n]):
             g = index.grams[i]
             if not len(g) or not len(mine):
                 if index.texts[i] in s:
                     yield key, i, s
                 continue
+            width = len(index.texts[i]) // 2 - Q
             at = np.searchsorted(mine, g)
             at[at == len(mine)] = 0
-            if (mine[at] == g).sum() >= least * len(g):
-                yield key, i, s
+            if not len(dense(mine[at] == g, width, least)):
+                continue
+            own = np.sort(g)
+            at = np.searchsorted(own, grams)
+            at[at == len(own)] = 0
+            where = dense(own[at] == grams, width, least)
+            if len(where):
+                # the part of the document in which such a stretch can lie
+                yield key, i, s[max(0, int(where[0]) - len(g)) : int(where[-1]) + 2 * len(g)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.5, altered: float = 0.13, block: int = 1000) -> DataFrame:
