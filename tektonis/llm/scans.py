@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tektonis.runtime import cut, spread, too_big
+from tektonis.runtime import cut, python_partitions, too_big
 
 # Characters that a reader of scans takes for one another, as (what is written, what is read).
 CONFUSIONS = (
@@ -328,7 +328,9 @@ def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: flo
 
 def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000) -> DataFrame:
     """(key, prop, line_no, kind, repaired), one row per fault."""
-    rows = spread(values(boxes, key, text), "key")
+    # the join with the scans' titles left the rows by scan, of which one may be hot
+    rows = values(boxes, key, text)
+    rows = rows.repartition(python_partitions(rows.sparkSession), "key", "prop")
     heads = cut(section_titles(rows))
     known = frozenset(r.title for r in heads.limit(title_limit).collect())
     if too_big(heads, title_limit):
