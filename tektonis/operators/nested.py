@@ -124,7 +124,7 @@ def record_triples(payload: str | None, layout: dict = BUILDING) -> list[tuple]:
 
 def triples(df: DataFrame, key: str, payload: str, layout: dict = BUILDING) -> DataFrame:
     """(key, grp, parent_node, node, ordinal, field, value), one row per scalar of every record."""
-    rows = spread(df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).where(F.col("payload").isNotNull()), "key")
+    rows = spread(df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).where(F.col("payload").isNotNull()), "key").distinct()
     kind = df.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -195,8 +195,8 @@ def explode_packed(df: DataFrame, key: str, text: str, source: str | Column, thr
 
     A soft delimiter of a source is used if its score reaches `threshold`; hard delimiters always split."""
     src = (F.col(source) if isinstance(source, str) else source).cast("string")
-    rows = df.select(F.col(key).alias("key"), src.alias("source"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.trim("text") != "")).distinct()
-    rows = spread(rows, "key")
+    rows = df.select(F.col(key).alias("key"), src.alias("source"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.trim("text") != ""))
+    rows = spread(rows, "key").distinct()
     chosen = delimiter_scores(rows, "text", "source").where(F.col("delimiter").isin(*SOFT) & (F.col("score") >= threshold))
     chosen = chosen.groupBy("source").agg(F.sort_array(F.collect_set("delimiter")).alias("soft"))  # at most len(SOFT) names a source
     joined = rows.join(chosen.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select("key", "text", "soft")

@@ -27,8 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tektonis.runtime import spread
-
 # Conversion edges (from, to, factor, offset): to = factor * from + offset.
 EDGES = (
     ("mm", "um", "1000", "0"),
@@ -173,7 +171,7 @@ def to_common(found: DataFrame, canonical: str = "um", out: str = "um") -> DataF
 def text_quantities(df: DataFrame, text: str) -> DataFrame:
     """All columns of df but `text`, with mention_no, figure and unit: one row per length in the text."""
     keep = [c for c in df.columns if c != text]
-    rows = spread(df.where(F.col(text).isNotNull()), *keep[:1])
+    rows = df.where(F.col(text).isNotNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text) + ", mention_no bigint, figure string, unit string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,4 +203,4 @@ def layer_quantities(df: DataFrame) -> DataFrame:
                     out.append((*head, *known[case]))
             yield pd.DataFrame(out, columns=[*keep, "figure", "unit"])
 
-    return spread(df, *keep[:1]).mapInPandas(read, schema)
+    return df.mapInPandas(read, schema)

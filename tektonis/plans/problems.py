@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tektonis.operators import nested, packed, units
+from tektonis.runtime import spread
 from tektonis.sources import table
 
 STATES = [("renovation_states", "states"), ("layer_sets", "sets"), ("layers", "layers")]
@@ -31,10 +32,11 @@ def _layers(df: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    layers = _layers(table(spark, sf, "tabula_floor_renovation")).where(F.col("thickness_text").isNotNull() | (F.col("thickness_cm") > 0)).distinct()
+    floors = spread(table(spark, sf, "tabula_floor_renovation").select("case_id", "unit_note", "renovation_states"), "case_id")
+    layers = _layers(floors).where(F.col("thickness_text").isNotNull() | (F.col("thickness_cm") > 0)).distinct()
     layer = units.layer_quantities(layers.withColumnRenamed("case_id", "record_id"))
     layer = layer.select(F.lit("layer").alias("src"), "record_id", "node", F.lit(1).cast("bigint").alias("mention_no"), "figure", "unit")
-    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload").distinct(), "record_id", "payload")
+    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload")
     roofs = got.where((F.col("grp") == "elements/*") & (F.col("field") == "type_of_construction_eng") & F.expr("lower(substr(node, 10)) like 'roof%'"))
     roofs = roofs.select("record_id", F.expr("substr(node, 10)").alias("node"), F.col("value").alias("text"))
     roof = units.text_quantities(roofs, "text").select(F.lit("roof").alias("src"), "record_id", "node", "mention_no", "figure", "unit")
@@ -42,7 +44,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    building = nested.nodes(nested.triples(table(spark, sf, "building_records").select("record_id", "payload").distinct(), "record_id", "payload"), "record_id")
+    building = nested.nodes(nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload"), "record_id")
     floors = nested.array_nodes(table(spark, sf, "tabula_floor_renovation"), "case_id", "renovation_states", STATES).distinct()
     return (
         building.select(F.lit("building").alias("src"), "record_id", "parent_node", "node")
@@ -52,7 +54,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_element_table(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of building elements, each row naming its record."""
-    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload").distinct(), "record_id", "payload")
+    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload")
     return nested.pivot_group(got, "record_id", "elements/*", ["surface_area_m2", "type_of_construction_eng", "type_of_construction_de", "type_of_construction"])
 
 

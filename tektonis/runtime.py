@@ -33,15 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def python_partitions(spark: SparkSession, factor: int = 2) -> int:
+    """Partitions for a CPU-bound Python stage: as many as shuffles have, and a few for each core."""
+    return max(spark.sparkContext.defaultParallelism * factor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
-    """Give a DataFrame with few input partitions enough of them for CPU-bound Python stages.
+    """Give a scan of few input partitions enough of them for CPU-bound Python stages.
 
-    A scan with many splits is left alone; the shuffle happens only for small inputs."""
+    A scan with many splits is left alone; the shuffle happens only for small inputs. To be called on scans and their projections: counting the partitions of a plan with shuffles would run them. A later distinct or aggregation by the keys needs no shuffle of its own."""
     sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism * factor
     if df.rdd.getNumPartitions() >= sc.defaultParallelism:
         return df
-    return df.repartition(want, *[F.col(k) for k in keys])
+    return df.repartition(sc.defaultParallelism * factor, *[F.col(k) for k in keys])
 
 
 def too_big(df: DataFrame, limit: int) -> bool:
