@@ -208,6 +208,10 @@ def repaired_number(w: str, after: str = "") -> str | None:
     return None
 
 
+# words of digits and look-alikes with a letter among them
+_FIGURE = re.compile(r"^(?=.*[A-Za-z])([A-Z0-9]{1,3}-)?[0-9OoIlZSB.,/]+$")
+
+
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
@@ -272,34 +276,65 @@ def _own_titles(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.join(own, ["key", "prop"], "left")
 
 
-def _read_words(rows: DataFrame, known: frozenset[str]) -> DataFrame:
-    """(key, prop, line_no, kind, word, before, after, first, second): every word in its place, and every header and page line."""
+def _parsed(pdf: pd.DataFrame, known: frozenset[str]) -> Iterator[tuple]:
+    """(key, prop, kinds of the lines, words) of each scanned text of a batch."""
+    heads = pdf["heads"] if "heads" in pdf else [None] * len(pdf)
+    for key, prop, value, titles, page, own in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["titles"], pdf["page"], heads):
+        if value.lstrip()[:1] == "{":
+            continue  # a small JSON object, no scanned text
+        lines = value.split("\n")
+        kinds = classify(lines, tuple(titles if titles is not None else ()), None if page is None or page != page else int(page), known if own is None else frozenset(own))
+        yield key, prop, kinds, words_of(lines, kinds)
+
+
+def count_words(rows: DataFrame, known: frozenset[str]) -> DataFrame:
+    """(word, first, second, n): how often each word occurs, unbroken (first is '') or broken into two parts; summed per batch before the shuffle."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got: Counter = Counter()
+            for _, _, _, words in _parsed(pdf, known):
+                got.update((w + s if broken else w, w if broken else "", s) for w, _, broken, _, s in words)
+            yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["word", "first", "second", "n"])
+
+    return rows.mapInPandas(count, "word string, first string, second string, n bigint").groupBy("word", "first", "second").agg(F.sum("n").alias("n"))
+
+
+def _read_words(rows: DataFrame, known: frozenset[str], wanted: frozenset[str] | None) -> DataFrame:
+    """(key, prop, line_no, kind, word, before, after, first, second): header and page lines, broken words, and the words that are wanted or may be figures; all words where `wanted` is None."""
     kind_of_key = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind_of_key}, prop string, line_no bigint, kind string, word string, before string, after string, first string, second string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            heads = pdf["heads"] if "heads" in pdf else [None] * len(pdf)
-            for key, prop, value, titles, page, own in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["titles"], pdf["page"], heads):
-                if value.lstrip()[:1] == "{":
-                    continue  # a small JSON object, no scanned text
-                lines = value.split("\n")
-                kinds = classify(lines, tuple(titles if titles is not None else ()), None if page is None or page != page else int(page), known if own is None else set(own))
+            for key, prop, kinds, words in _parsed(pdf, known):
                 out += [(key, prop, i, k, "", "", "", "", "") for i, k in enumerate(kinds, 1) if k in ("header", "page_no")]
-                words = words_of(lines, kinds)
                 plain = [w + s if broken else w for w, _, broken, _, s in words]
                 for i, (w, n, broken, _, second) in enumerate(words):
-                    before, after = plain[i - 1] if i else "", plain[i + 1] if i + 1 < len(words) else ""
-                    out.append((key, prop, n, "hyphen" if broken else "word", plain[i], before, after, w if broken else "", second))
+                    if broken or wanted is None or w in wanted or _FIGURE.match(w):
+                        before, after = plain[i - 1] if i else "", plain[i + 1] if i + 1 < len(words) else ""
+                        out.append((key, prop, n, "hyphen" if broken else "word", plain[i], before, after, w if broken else "", second))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInPandas(read, schema)
 
 
-def lexicon(words: DataFrame) -> DataFrame:
-    """(word, n) over all places of a word that is not broken."""
-    return words.where(F.col("kind") == "word").groupBy("word").agg(F.count("*").alias("n"))
+def neighbour_counts(rows: DataFrame, known: frozenset[str], meant: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((before, meant, left_n), (after, meant, right_n)) for the words of `meant`: how often they stand beside each neighbour."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got: Counter = Counter()
+            for _, _, _, words in _parsed(pdf, known):
+                plain = [w + s if broken else w for w, _, broken, _, s in words]
+                got.update((side, x, w) for side, xs, ws in ((0, plain, plain[1:]), (1, plain[1:], plain)) for x, w in zip(xs, ws))
+            yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["side", "x", "meant", "n"])
+
+    got = rows.mapInPandas(pairs, "side int, x string, meant string, n bigint").join(meant.select("meant").distinct(), "meant").groupBy("side", "x", "meant").agg(F.sum("n").alias("n"))
+    got = cut(got)
+    side = lambda k, x, n: got.where(F.col("side") == k).select(F.col("x").alias(x), "meant", F.col("n").alias(n))
+    return side(0, "before", "left_n"), side(1, "after", "right_n")
 
 
 def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: float = 12.0) -> DataFrame:
@@ -326,60 +361,66 @@ def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: flo
     return pairs.mapInPandas(measure, "word string, n bigint, meant string, meant_n bigint, cost double")
 
 
-def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000) -> DataFrame:
-    """(key, prop, line_no, kind, repaired), one row per fault."""
+def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000, word_limit: int = 1_000_000) -> DataFrame:
+    """(key, prop, line_no, kind, repaired), one row per fault.
+
+    Words are counted and matched as distinct words; the texts are parsed again to find the places of the misread ones, so that words are never written out or shuffled per place. Up to `word_limit` misread words go to the workers; beyond, all places are joined."""
     # the join with the scans' titles left the rows by scan, of which one may be hot
     rows = values(boxes, key, text)
-    rows = rows.repartition(python_partitions(rows.sparkSession), "key", "prop")
+    rows = cut(rows.repartition(python_partitions(rows.sparkSession), "key", "prop"))
     heads = cut(section_titles(rows))
     known = frozenset(r.title for r in heads.limit(title_limit).collect())
     if too_big(heads, title_limit):
         # more headings than may be sent to every worker: each value gets those of its own lines that are headings
-        rows = _own_titles(rows, heads)
-        known = frozenset()
-    words = cut(_read_words(rows, known))
-    lex = cut(lexicon(words))
-    lines = words.where(F.col("kind").isin("header", "page_no")).select("key", "prop", "line_no", "kind", F.lit("").alias("repaired"))
+        rows, known = cut(_own_titles(rows, heads)), frozenset()
+    counts = cut(count_words(rows, known))
+    lex = counts.where("first = ''").select("word", "n")
 
     # broken words: with or without the hyphen, whichever the corpus knows
-    broken = words.where(F.col("kind") == "hyphen").select("key", "prop", "line_no", "word", "first", "second", "before", "after")
-    forms = broken.select("first", "second", "word").distinct().withColumn("kept", F.concat("first", F.lit("-"), "second"))
+    forms = counts.where("first <> ''").select("first", "second", "word").withColumn("kept", F.concat("first", F.lit("-"), "second"))
     known_n = lambda name: lex.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"))
     forms = forms.join(known_n("word"), "word", "left").join(known_n("kept"), "kept", "left").na.fill(0, ["word_n", "kept_n"])
     keep = F.when(F.col("kept_n") != F.col("word_n"), F.col("kept_n") > F.col("word_n")).otherwise(F.col("second").rlike(r"^\p{Lu}"))
-    forms = forms.withColumn("joined", F.when(keep, F.col("kept")).otherwise(F.col("word"))).withColumn("joined_n", F.when(keep, F.col("kept_n")).otherwise(F.col("word_n"))).drop("kept", "kept_n", "word_n")
+    joined, joined_n = F.when(keep, F.col("kept")).otherwise(F.col("word")), F.when(keep, F.col("kept_n")).otherwise(F.col("word_n"))
+    forms = cut(forms.select("first", "second", joined.alias("joined"), joined_n.alias("joined_n")))
 
     # words to look up: those of the text, and joined ones
-    asked = lex.select("word", "n").unionByName(forms.select(F.col("joined").alias("word"), F.greatest("joined_n", F.lit(1)).alias("n"))).groupBy("word").agg(F.max("n").alias("n"))
-    asked = asked.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}"))
-    cands = cut(candidates(lex, asked))
-
-    # context: how often each candidate stands beside the neighbours in the whole corpus
-    best_cost = cands.groupBy("word").agg(F.min("cost").alias("least"), F.count("*").alias("ways"))
-    cands = cands.join(best_cost, "word").where(F.col("cost") <= F.col("least") + 0.45)
-    single = cands.where("ways = 1").select("word", "meant")
-    many = cut(cands.where("ways > 1").select("word", "meant", "meant_n", "cost"))
+    asked = lex.unionByName(forms.select(F.col("joined").alias("word"), F.greatest("joined_n", F.lit(1)).alias("n"))).groupBy("word").agg(F.max("n").alias("n"))
+    cands = cut(candidates(lex, asked.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}"))))
+    least = cands.groupBy("word").agg(F.min("cost").alias("least"))
+    cands = cands.join(least, "word").where(F.col("cost") <= F.col("least") + 0.45)
+    ways = cands.groupBy("word").agg(F.count("*").alias("ways"), F.max_by("meant", F.struct("meant_n", "meant")).alias("only"))
+    ways = cut(ways)
+
+    wanted = None if too_big(ways, word_limit) else frozenset(r.word for r in ways.select("word").collect())  # at most word_limit
+    words = cut(_read_words(rows, known, wanted))
+    lines = words.where(F.col("kind").isin("header", "page_no")).select("key", "prop", "line_no", "kind", F.lit("").alias("repaired"))
     plain = words.where(F.col("kind") == "word").select("key", "prop", "line_no", "word", "before", "after")
-    joined = broken.join(forms.select("first", "second", "joined"), ["first", "second"]).select("key", "prop", "line_no", F.col("joined").alias("word"), "before", "after")
-    places = plain.withColumn("of", F.lit("char")).unionByName(joined.withColumn("of", F.lit("hyphen")))
-    unsure = places.join(many, "word")
-    left_n = words.where(F.col("kind") == "word").groupBy(F.col("before").alias("before"), F.col("word").alias("meant")).agg(F.count("*").alias("left_n"))
-    right_n = words.where(F.col("kind") == "word").groupBy(F.col("after").alias("after"), F.col("word").alias("meant")).agg(F.count("*").alias("right_n"))
-    unsure = unsure.join(left_n, ["before", "meant"], "left").join(right_n, ["after", "meant"], "left").na.fill(0, ["left_n", "right_n"])
-    score = F.log1p("left_n") + F.log1p("right_n") + 0.5 * F.log1p("meant_n") - 6.0 * F.col("cost")
-    choice = unsure.groupBy("key", "prop", "line_no", "of", "word", "before", "after").agg(F.max_by("meant", F.struct(score, F.col("meant_n"), F.col("meant"))).alias("meant"))
-    sure = places.join(single, "word").select("key", "prop", "line_no", "of", "word", "meant")
-    fixed = sure.unionByName(choice.select("key", "prop", "line_no", "of", "word", "meant"))
+    broken = words.where(F.col("kind") == "hyphen").join(forms.select("first", "second", "joined"), ["first", "second"])
+    broken = broken.select("key", "prop", "line_no", F.col("joined").alias("word"), "before", "after")
+    places = plain.withColumn("of", F.lit("char")).unionByName(broken.withColumn("of", F.lit("hyphen")))
+    fixed = places.join(ways.where("ways = 1").select("word", F.col("only").alias("meant")), "word").select("key", "prop", "line_no", "of", "word", "meant")
+
+    many = ways.where("ways > 1").select("word")
+    if not many.isEmpty():
+        # context: how often each candidate stands beside the neighbours in the whole corpus
+        open_ = cut(cands.join(many, "word").select("word", "meant", "meant_n", "cost"))
+        left_n, right_n = neighbour_counts(rows, known, open_)
+        unsure = places.join(open_, "word").join(left_n, ["before", "meant"], "left").join(right_n, ["after", "meant"], "left").na.fill(0, ["left_n", "right_n"])
+        score = F.log1p("left_n") + F.log1p("right_n") + 0.5 * F.log1p("meant_n") - 6.0 * F.col("cost")
+        choice = unsure.groupBy("key", "prop", "line_no", "of", "word", "before", "after").agg(F.max_by("meant", F.struct(score, F.col("meant_n"), F.col("meant"))).alias("meant"))
+        fixed = fixed.unionByName(choice.select("key", "prop", "line_no", "of", "word", "meant"))
+
     chars = fixed.where("of = 'char'").select("key", "prop", "line_no", F.lit("char").alias("kind"), F.col("meant").alias("repaired"))
-    hyph = joined.select("key", "prop", "line_no", "word").distinct().join(fixed.where("of = 'hyphen'").select("key", "prop", "line_no", "word", "meant").distinct(), ["key", "prop", "line_no", "word"], "left")
+    whole = fixed.where("of = 'hyphen'").select("key", "prop", "line_no", "word", "meant").distinct()
+    hyph = broken.select("key", "prop", "line_no", "word").distinct().join(whole, ["key", "prop", "line_no", "word"], "left")
     hyph = hyph.select("key", "prop", "line_no", F.lit("hyphen").alias("kind"), F.coalesce("meant", "word").alias("repaired"))
 
     @F.pandas_udf("string")
     def number(w: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series([repaired_number(a, b) for a, b in zip(w, after)], dtype=object)
 
-    figures = plain.where(F.col("word").rlike(r"^([A-Z0-9]{1,3}-)?[0-9OoIlZSB.,/]+$") & F.col("word").rlike(r"[A-Za-z]"))
+    figures = plain.where(F.col("word").rlike(_FIGURE.pattern))
     figures = figures.withColumn("repaired", number("word", "after")).where(F.col("repaired").isNotNull())
     digits = figures.select("key", "prop", "line_no", F.lit("char").alias("kind"), "repaired")
-    out = lines.unionByName(hyph).unionByName(chars).unionByName(digits)
-    return out.distinct().withColumnRenamed("key", key)
+    return lines.unionByName(hyph).unionByName(chars).unionByName(digits).distinct().withColumnRenamed("key", key)

@@ -35,4 +35,13 @@ def test_repair(spark):
     assert (90, "Wand", 7, "char", "2003") in out and not any(r[2] == 5 for r in out) and len(out) == len(set(out))
     assert got.where("box_id <> 90").count() == 0
     assert sorted(map(tuple, scans.repair(df, title_limit=0).where("box_id = 90").collect())) == out
+    assert sorted(map(tuple, scans.repair(df, word_limit=0).where("box_id = 90").collect())) == out
     assert scans.repair(df.limit(0)).count() == 0
+
+
+def test_context_decides_between_candidates(spark):
+    schema = "box_id bigint, scan_id string, printed_page int, page_header struct<main_section:struct<section:string,title:string>,subseries:struct<section:string,title:string>>, properties map<string,string>"
+    rows = [(i, "S", 1, None, {"t": "Ein hoher Baum steht dort und saurer Barm liegt hier"}) for i in range(40)]
+    rows += [(80, "S", 1, None, {"t": "Ein hoher Banm steht dort"}), (81, "S", 1, None, {"t": "und saurer Banm liegt hier"})]
+    df = spark.createDataFrame(rows, schema)
+    assert sorted(map(tuple, scans.repair(df).collect())) == [(80, "t", 1, "char", "Baum"), (81, "t", 1, "char", "Barm")]
