@@ -167,7 +167,7 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
 
     # inverse document frequencies over the names of a kind
     total = ref.where("form = 'words'").groupBy("kind").agg(F.countDistinct("name_id").alias("names"))  # one row a kind
-    idf = ref.groupBy("kind", "form", "token").agg(F.countDistinct("name_id").alias("df")).join(F.broadcast(total), "kind")
+    idf = ref.groupBy("kind", "form", "token").agg(F.countDistinct("name_id").alias("df")).join(total, "kind")
     idf = idf.select("kind", "form", "token", F.log(1 + F.col("names") / F.col("df")).alias("idf"), F.log(1 + F.col("names")).alias("most"))
     weighted = ref.join(idf, ["kind", "form", "token"])
     norms = weighted.groupBy("kind", "name_doc", "name_id", "form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
@@ -198,7 +198,7 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
     sums = best.groupBy("kind", "value", "doc", "form", "name_doc").agg(F.sum(F.col("b.sim") * F.col("b.idf") * F.col("b.idf")).alias("dot"), F.sum(F.col("b.idf") * F.col("b.idf")).alias("square"), F.count_if(~F.col("weak")).alias("met"))
     size = docs.groupBy("kind", "value", "doc").agg(F.count_if(~F.col("weak")).alias("size"))
     most = idf.groupBy("kind").agg(F.max("most").alias("most"))  # one row a kind
-    scored = sums.where("met > 0").join(size, ["kind", "value", "doc"]).join(norms, ["kind", "name_doc", "form"]).join(F.broadcast(most), "kind")
+    scored = sums.where("met > 0").join(size, ["kind", "value", "doc"]).join(norms, ["kind", "name_doc", "form"]).join(most, "kind")
     # tokens without a partner weigh as much as the rarest
     scored = scored.withColumn("score", F.col("dot") / (F.col("norm") * F.sqrt(F.col("square") + (F.col("size") - F.col("met")) * F.col("most") * F.col("most"))))
     scored = scored.join(names.select("name_id", "ref_id"), "name_id").where(F.col("score") >= threshold)
