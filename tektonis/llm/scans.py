@@ -46,6 +46,7 @@ _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'„“”‚‘’«»‹›()[]{}<>.,;:!?…*•_|=~"
 _PAGE = re.compile(r"^[\W_]*(?:(?P<word>Seite|S|Bl|Blatt|Page|page|p|pag|Pag|Sheet|SEITE|BLATT|seite|blatt|Selte|8eite|5eite|Scite|Seile|Seitc)\b\.?\s*)?(?P<n>[\dOoIlZSBz|]{1,5})(?P<of>\s*(?:von|of|/|aus|vori|vo11|vcn|van)\s*[\dOoIlZSBz|]{1,5})?[\W_]*$")
 _SECTION = re.compile(r"^\s*(?P<sec>[\dlIOoSZB]{1,2}(?:[.,][\dlIOoSZB]{1,2}){1,3})\.?\s+(?P<title>\S.*)$")
+_NUMBER_STARTS = frozenset("0123456789lIOoSZB([-–—_|")
 _CONJUNCTIONS = {"und", "oder", "bis", "sowie", "bzw", "bzw.", "als", "noch", "and", "or", "to"}
 
 
@@ -141,6 +142,9 @@ def classify(lines: list[str], titles: tuple[str, ...], page: int | None, known:
 def _near(a: str, b: str) -> bool:
     """Whether two header keys differ in no more than a tenth of their characters, two at least."""
     limit = max(2, len(a) // 10)
+    cuts = [len(a) * i // (limit + 1) for i in range(limit + 2)]
+    if not any(a[i:j] in b for i, j in zip(cuts, cuts[1:])):
+        return False  # so many edits leave one of these pieces whole
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         cur = [i]
@@ -174,7 +178,7 @@ def words_of(lines: list[str], kinds: list[str]) -> list[tuple[str, int, bool, b
         elif carry:
             continue
         carry = None
-        m = _BREAK.search(line) if tokens else None
+        m = _BREAK.search(line) if tokens and tokens[-1][-1] in HYPHENS else None
         # a hyphen alone, after a space, is a dash
         if m and (tokens[-1].rstrip(HYPHENS) or len(tokens) > 1):
             last = tokens[-1] if tokens[-1].rstrip(HYPHENS) else tokens[-2]
@@ -248,6 +252,8 @@ def section_titles(rows: DataFrame, least: int = 5) -> DataFrame:
                 if len(lines) > 1:
                     seen = set()
                     for line in lines:
+                        if line.lstrip()[:1] not in _NUMBER_STARTS:
+                            continue
                         m = _SECTION.match(_strip_page(line, None if page is None or page != page else int(page)))
                         if m and not re.search(r"[.,;:!?]\s*$", m["title"]) and not m["title"][0].islower():
                             seen.add(header_key(m["title"]))
