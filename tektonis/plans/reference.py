@@ -9,7 +9,7 @@ from tektonis.functions import lca, text
 from tektonis.functions import layout as lines
 from tektonis.operators import features, impact, layout, ontology, retrieval, triples, validate
 from tektonis.plans.registry import Registry
-from tektonis.sources import table
+from tektonis.sources import table, turtle
 
 R = Registry()
 IND = list(lca.INDICATORS)
@@ -280,6 +280,12 @@ def triple_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return _graph(spark, sf).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"), F.min("o").alias("first"))
 
 
+@R.add(f"""WITH {TRIPLES_SQL}, t AS (SELECT s, '<' || p || '> ' || CASE WHEN p IN ('name', 'segment') THEN '"' || o || '"' ELSE '<' || o || '>' END AS po FROM g)
+    SELECT s, '<' || s || '> ' || string_agg(po, ' ;' || chr(10) || '    ' ORDER BY po) || ' .' AS value FROM t GROUP BY s""")
+def turtle_statements(spark: SparkSession, sf: str) -> DataFrame:
+    return turtle.turtle_lines(_graph(spark, sf))
+
+
 @R.add("""SELECT iri AS entity, CASE WHEN label_de < label_en THEN label_de || ' | ' || label_en WHEN label_de = label_en THEN label_en ELSE label_en || ' | ' || label_de END AS text FROM vocabulary""")
 def text_profiles(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "vocabulary")
