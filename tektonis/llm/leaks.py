@@ -6,7 +6,8 @@ Items are a query set: they go to the workers in blocks of at most `block` items
 
 Defined results
     null, blank text                 no leak
-    items below `least` characters   compared as a whole only (their stretch is shorter than a window)
+    items below 48 characters        no hash: a stretch of half may be shorter than a window, so every document is checked
+    items below 24 characters        only as a whole, unaltered
     item that occurs in the corpus many times   every such document is reported
     copies of a document             each is reported
     very long text                   all its windows, in one pass
@@ -145,7 +146,8 @@ class ItemIndex:
         self.windows = {w for w in WINDOWS if w in set(size)}
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.short = [i for i, s in self.texts.items() if len(s) < 2 * WINDOWS[0]]
+        self.tiny = [i for i, s in self.texts.items() if len(s) < WINDOWS[0]]
+        self.short = [i for i, s in self.texts.items() if WINDOWS[0] <= len(s) < 2 * WINDOWS[0]]
 
     def meet(self, chars: np.ndarray, starts: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows of starts, items) that share a key."""
@@ -256,18 +258,18 @@ def candidates(docs: list[tuple], index: ItemIndex, least: float = 0.6) -> Itera
             for d, i in both.T:
                 pairs[int(d)].add(int(i))
     for n, (key, s) in enumerate(forms):
-        for i in index.short:
+        for i in index.tiny:
             if index.texts[i] in s:
-                pairs[n].add(i)
+                yield key, i, s
+        if index.short and s:
+            pairs[n].update(index.short)
         if n not in pairs:
             continue
         grams = gram_hashes(codes(s))
         mine = np.unique(grams)
-        for i in sorted(pairs[n]):
+        for i in sorted(pairs[n].difference(index.tiny)):
             g = index.grams[i]
-            if not len(g) or not len(mine):
-                if index.texts[i] in s:
-                    yield key, i, s
+            if not len(mine):
                 continue
             width = len(index.texts[i]) // 2 - Q
             at = np.searchsorted(mine, g)
