@@ -56,3 +56,23 @@ def network(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = g.where((F.col("o_kind") != "literal") & (F.col("p") != RDF_TYPE)).select(F.col("s").alias("src"), F.col("o").alias("dst"), F.substring_index(F.substring_index("p", "#", -1), "/", -1).alias("label")).distinct()
     style = F.when(F.col("kind") == "LayerSet", "box").when(F.col("kind") == "Layer", "ellipse").when(F.col("kind") == "Material", "diamond").otherwise("dot")
     return kinds.withColumn("style", style), edges
+
+# Renovation states and the status classes they stand for.
+STATUS = {"existing": "NotRenovated", "usual": "SmallRenovation", "advanced": "LargeRenovation"}
+
+
+def status_schema(df: DataFrame) -> DataFrame:
+    """The classes of the renovation states as triples; df lends its session."""
+    rows = [(NS + name, RDF_TYPE, "http://www.w3.org/2002/07/owl#Class", "iri", None, None) for name in STATUS.values()]
+    return df.sparkSession.createDataFrame(rows, "s string, p string, o string, o_kind string, o_lang string, o_dt string")
+
+
+def staged_triples(stages: DataFrame, building: str, element: str, state: str, layers: str) -> DataFrame:
+    """Triples of buildings, their elements and their states: one row per state, with the uris of its layers as an array of strings, so that a layer that a later state keeps is one node."""
+    b = F.concat(F.lit(BASE + "Building_"), lca.safe_id(F.col(building)))
+    e = F.concat(b, F.lit("_"), lca.safe_id(F.col(element)))
+    s = F.concat(e, F.lit("_"), F.col(state))
+    status = lca.lookup({k: NS + v for k, v in STATUS.items()}, F.col(state))
+    rows = stages.select(b.alias("b"), e.alias("e"), s.alias("s_"), status.alias("status"), F.explode_outer(layers).alias("l"))
+    parts = [triple(F.col("b"), RDF_TYPE, F.lit(NS + "Building")), triple(F.col("b"), NS + "hasElement", F.col("e")), triple(F.col("e"), NS + "hasLayerSet", F.col("s_")), triple(F.col("s_"), NS + "status", F.col("status")), triple(F.col("s_"), NS + "hasLayer", F.col("l"))]
+    return explode_triples(rows, F.array(*parts))

@@ -126,3 +126,14 @@ def embed(text: Column | str, encoder=hashed_embedding) -> Column:
         return texts.map(lambda t: None if t is None else encoder(t))
 
     return run(text)
+
+
+def overlap_score(hint: Column, tokens: Column) -> Column:
+    """0.5 and a tenth more for each distinct name token that the hint contains; null where it contains none."""
+    n = F.size(F.filter(F.array_distinct(tokens), lambda t: (F.length(t) > 0) & F.contains(F.lower(hint), F.lower(t))))
+    return F.when(n > 0, 0.5 + 0.1 * n)
+
+
+def is_material_entity(parents: Column, tokens: Column, anchor: str, words: list[str]) -> Column:
+    """Whether an entry is a child of the anchor or has one of the words among its name tokens."""
+    return F.coalesce(F.array_contains(parents, anchor), F.lit(False)) | F.coalesce(F.arrays_overlap(F.transform(tokens, lambda t: F.lower(t)), F.array(*map(F.lit, words))), F.lit(False))

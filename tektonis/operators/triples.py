@@ -99,3 +99,17 @@ def reverse_edges(edges: DataFrame, prefix: str = "rev_") -> DataFrame:
 def highlight(nodes: DataFrame, selected: Column) -> DataFrame:
     """Nodes with a flag for those that a selection hides."""
     return nodes.withColumn("hidden", ~F.coalesce(selected, F.lit(False)))
+
+
+def edges_between(g: DataFrame, left: DataFrame, right: DataFrame, p: str | None = None) -> DataFrame:
+    """(src, dst): ids of the ends of triples whose subject is in `left` and whose object is in `right`, both (iri, id); of any property if none is named."""
+    ends = match(g, p=p).select("s", "o").distinct()
+    ends = ends.join(left.select(F.col("iri").alias("s"), F.col("id").alias("src")), "s")
+    return ends.join(right.select(F.col("iri").alias("o"), F.col("id").alias("dst")), "o").select("src", "dst")
+
+
+def taxonomy_index(g: DataFrame, parent: str) -> DataFrame:
+    """(iri, text): the direct subclasses of a class with their labels in one text."""
+    below = match(g, p=SUBCLASS, o=parent).select("s").distinct()
+    labels = match(g, p=LABEL).join(below, "s", "left_semi").groupBy("s").agg(F.array_join(F.sort_array(F.collect_set("o")), " ").alias("text"))
+    return below.join(labels, "s", "left").select(F.col("s").alias("iri"), F.coalesce("text", F.lit("")).alias("text"))

@@ -116,3 +116,19 @@ def validity_pct(bad: Column, slots: Column) -> Column:
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def file_audit(issues: DataFrame, shapes: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, issues, violations, warnings, conforms) of every file; issues and shape results have the path of the file they come from. A file conforms without a violation."""
+    i = issues.groupBy("path").agg(F.count("*").alias("issues"))
+    s = shapes.groupBy("path").agg(F.count_if(F.col("severity") == "violation").alias("violations"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    out = files.select("path").distinct().join(i, "path", "left").join(s, "path", "left").na.fill(0, ["issues", "violations", "warnings"])
+    return out.withColumn("conforms", F.col("violations") == 0)
+
+
+def gold_score(cases: DataFrame, predicted: DataFrame, gold: DataFrame, key: str = "id", signature: str = "signature") -> DataFrame:
+    """(key, score): 100 for an equal signature or a case without gold, 0 for another, null for a gold case without output."""
+    p = predicted.select(key, F.col(signature).alias("_p"))
+    g = gold.select(key, F.col(signature).alias("_g"))
+    j = cases.select(key).distinct().join(p, key, "left").join(g, key, "left")
+    return j.select(key, F.when(F.col("_g").isNull(), 100.0).when(F.col("_p").isNull(), None).when(F.col("_p") == F.col("_g"), 100.0).otherwise(0.0).alias("score"))

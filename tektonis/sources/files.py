@@ -75,3 +75,28 @@ def descriptions(triples: DataFrame, classes: list[str], type_p: str, text_p: st
 def numbered(df: DataFrame, group: str, order: str, name: str = "no") -> DataFrame:
     """Rows numbered from 1 within a group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+# Fixed value: the common record of all description sources.
+DESCRIPTION = "subject string, source string, german string, english string, extra string, metadata map<string,string>"
+
+
+def source_label(path: str) -> str:
+    """The readable name of a source: its file name without the ending."""
+    return Path(path).stem
+
+
+def stage_descriptions(stages: DataFrame, building: str, element: str, stage: str, german: str, english: str) -> DataFrame:
+    """Description records of building stages; a stage without any text gives none."""
+    from tektonis.functions.lca import safe_id
+
+    subject = F.concat(F.lit("Building_"), safe_id(F.col(building)), F.lit("_Layer_"), safe_id(F.col(element)), F.lit("_"), F.col(stage))
+    has = F.length(F.trim(F.concat(F.coalesce(german, F.lit("")), F.coalesce(english, F.lit(""))))) > 0
+    return stages.where(has).select(subject.alias("subject"), F.lit("stage").alias("source"), F.col(german).alias("german"), F.col(english).alias("english"), F.lit(None).cast("string").alias("extra"), F.create_map(F.lit("element"), F.col(element), F.lit("stage"), F.col(stage)).alias("metadata"))
+
+
+def worksection_descriptions(rows: DataFrame, worksection: str, element_no: str, layer_no: str) -> DataFrame:
+    """Description records of work sections; the numbers are written with two digits."""
+    subject = F.format_string("E%02d_L%02d", F.col(element_no).cast("int"), F.col(layer_no).cast("int"))
+    none = F.lit(None).cast("string")
+    return rows.where(F.col(worksection).isNotNull()).select(subject.alias("subject"), F.lit("worksection").alias("source"), none.alias("german"), F.col(worksection).alias("english"), none.alias("extra"), F.create_map(F.lit("worksection"), F.col(worksection)).alias("metadata"))
