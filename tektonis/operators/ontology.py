@@ -113,3 +113,20 @@ def profiles(triples: DataFrame, label: str, comment: str, subclass: str, langs:
 def encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the rank of a label among the sorted distinct labels, from 0."""
     return df.join(number_distinct(df, column, name), column, "left")
+
+
+def sanitize_slots(df: DataFrame, anchors: DataFrame, functions: DataFrame, fn: str = "fn", cat: str = "cat", typ: str = "typ") -> DataFrame:
+    """df with values moved to the slot they belong to.
+
+    A function leaves the material slots. A material in the function slot moves to the type slot if that is empty, its anchor to an empty category slot, and the function becomes null, as does anything else that is no function."""
+    known = functions.select(F.col("iri").alias("_f")).distinct()
+    flag = lambda d, c, n: d.join(known.withColumn(n, F.lit(True)), d[c] == F.col("_f"), "left").drop("_f")
+    d = df
+    for c, n in ((fn, "_in_fn"), (cat, "_in_cat"), (typ, "_in_typ")):
+        d = flag(d, c, n)
+    d = d.withColumn(cat, F.when(F.col("_in_cat").isNull(), F.col(cat))).withColumn(typ, F.when(F.col("_in_typ").isNull(), F.col(typ)))
+    an = anchors.select(F.col("iri").alias("_of"), F.col("anchor").alias("_anchor"))
+    d = d.join(an, d[fn] == an["_of"], "left").drop("_of")
+    material = F.col("_in_fn").isNull() & F.col("_anchor").isNotNull()
+    d = d.withColumn(typ, F.when(material, F.coalesce(F.col(typ), F.col(fn))).otherwise(F.col(typ))).withColumn(cat, F.when(material, F.coalesce(F.col(cat), F.col("_anchor"))).otherwise(F.col(cat)))
+    return d.withColumn(fn, F.when(F.col("_in_fn").isNotNull(), F.col(fn))).drop("_in_fn", "_in_cat", "_in_typ", "_anchor")

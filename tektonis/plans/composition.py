@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tektonis.functions import text
@@ -201,6 +201,19 @@ def assigned_materials(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(compose.assign(s.withColumn("layers", bare), "layers", "description", "assigned"), "assigned")
 
 
+@R.add()
+def validated_layer_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers against a vocabulary of two levels: half of the categories are anchors, the types of each name stand below one of them."""
+    v = table(spark, sf, "vocabulary")
+    cats = v.where("kind = 'category'").select(F.col("local_name").alias("parent"), (F.row_number().over(Window.partitionBy(F.col("kind")).orderBy("ref_id")) - 1).alias("n"))
+    mats = v.where("kind = 'material'").select(F.col("local_name").alias("child"), (F.row_number().over(Window.partitionBy(F.col("kind")).orderBy("ref_id")) - 1).alias("n"))
+    edges = mats.join(cats, "n").select("child", "parent")  # the vocabulary is the reference list
+    closed = ontology.closure(edges)
+    anchors = ontology.nearest_anchor(closed, cats.where("n % 2 = 0").select(F.col("parent").alias("iri")))
+    functions = v.where("kind = 'function'").select(F.explode(F.array(F.col("local_name"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FUNCTIONS.items() for x in kv]), F.col("local_name")), F.col("local_name")))).alias("iri")).distinct()
+    return _flat(compose.validate_sets(_sets(spark, sf), "set_id", "layers", anchors, functions, edges.select(F.col("child").alias("iri")), closed))
+
+
 STATES_SQL = """d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_floor_renovation), s AS (SELECT case_id, unnest(renovation_states) AS s, generate_subscripts(renovation_states, 1) AS i FROM d),
     q AS (SELECT case_id, i, s.id AS state, s.layer_sets[1].layers AS ls FROM s), x AS (SELECT case_id, state, i, first(ls) OVER (PARTITION BY case_id ORDER BY i) AS base, ls FROM q)"""
 
@@ -208,8 +221,6 @@ STATES_SQL = """d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_flo
 @R.add(f"WITH {STATES_SQL} SELECT case_id, i, state, coalesce(len(base), 0) AS reused, coalesce(len(ls), 0) - coalesce(len(base), 0) AS added FROM x")
 def renovation_reuse(spark: SparkSession, sf: str) -> DataFrame:
     """How many layers of the first state each state keeps and adds."""
-    from pyspark.sql import Window
-
     d = table(spark, sf, "tabula_floor_renovation").select("case_id", "renovation_states").distinct()
     s = d.select("case_id", F.posexplode("renovation_states").alias("p", "s")).select("case_id", (F.col("p") + 1).cast("bigint").alias("i"), F.col("s.id").alias("state"), F.try_element_at(F.col("s.layer_sets"), F.lit(1))["layers"].alias("ls"))
     base = F.first("ls").over(Window.partitionBy("case_id").orderBy("i"))

@@ -43,3 +43,19 @@ def test_scores(spark):
     path = lambda *x: spark.createDataFrame(list(x), "path string, severity string")
     audit = {r.path: (r.issues, r.violations, r.warnings, r.conforms) for r in validate.file_audit(path(("f", "x")), path(("f", "violation"), ("g", "warning")), path(("f", ""), ("g", ""), ("h", ""))).collect()}
     assert audit == {"f": (1, 1, 0, False), "g": (0, 0, 1, True), "h": (0, 0, 0, True)}
+
+
+def test_validated_sets(spark):
+    from tektonis.operators import ontology
+
+    edges = spark.createDataFrame([("Lwc", "Concrete"), ("Bmu", "Brick")], "child string, parent string")
+    closed = ontology.closure(edges)
+    iri = lambda *x: spark.createDataFrame([(i,) for i in x], "iri string")
+    anchors = ontology.nearest_anchor(closed, iri("Concrete", "Brick"))
+    layers = [(1, "Insulating", None, "Lwc", 5.0), (2, "Bmu", None, None, None), (3, None, "Lwc", None, None), (4, "what", "Insulating", "Insulating", None), (5, None, "Brick", "Lwc", None), (6, None, "Concrete", "Concrete", 1.0), (7, None, None, None, None)]
+    df = spark.createDataFrame([(1, layers, []), (2, layers[6:], []), (3, layers[:1], ["Insulating"]), (4, None, None)], f"id bigint, layers array<{compose.LAYER}>, ok array<string>").withColumn("fn", F.lit("clash"))
+    got = {r.id: [tuple(x) for x in r.layers] for r in compose.validate_sets(df, "id", "layers", anchors, iri("Insulating"), iri("Lwc", "Bmu"), closed, "ok").collect()}
+    assert got == {
+        1: [(1, "Insulating", "Concrete", "Lwc", 5.0), (2, None, "Brick", "Bmu", None), (3, None, "Concrete", "Lwc", None), (4, None, "Concrete", "Lwc", None), (5, None, "Concrete", None, 1.0)],
+        3: [(1, "Insulating", None, None, 5.0)],
+    }
