@@ -220,13 +220,12 @@ STATES_SQL = """d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_flo
 
 @R.add(f"WITH {STATES_SQL} SELECT case_id, i, state, coalesce(len(base), 0) AS reused, coalesce(len(ls), 0) - coalesce(len(base), 0) AS added FROM x")
 def renovation_reuse(spark: SparkSession, sf: str) -> DataFrame:
-    """How many layers of the first state each state keeps and adds."""
-    d = table(spark, sf, "tabula_floor_renovation").select("case_id", "renovation_states").distinct()
-    s = d.select("case_id", F.posexplode("renovation_states").alias("p", "s")).select("case_id", (F.col("p") + 1).cast("bigint").alias("i"), F.col("s.id").alias("state"), F.try_element_at(F.col("s.layer_sets"), F.lit(1))["layers"].alias("ls"))
-    base = F.first("ls").over(Window.partitionBy("case_id").orderBy("i"))
-    x = s.withColumn("base", base)
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint")
-    return x.select("case_id", "i", "state", size("base").alias("reused"), (size("ls") - size("base")).alias("added"))
+    """How many layers each set (j) of each state keeps from the first state's sets and adds to them. SQL reads the first set alone and takes it that all of the first state is kept."""
+    sets = compose.renovation_sets(table(spark, sf, "tabula_floor_renovation")).withColumn("ls", F.transform(F.coalesce("layers", F.array()), compose.layer_identity))
+    base = F.flatten(F.collect_list(F.when(F.col("i") == 1, F.col("ls"))).over(Window.partitionBy("case_id")))
+    alike = lambda x, y: x["fn"].eqNullSafe(y["fn"]) & x["cat"].eqNullSafe(y["cat"]) & x["typ"].eqNullSafe(y["typ"]) & x["cm"].eqNullSafe(y["cm"])
+    kept = sets.withColumn("base", base).withColumn("reused", F.size(F.filter("ls", lambda x: F.exists("base", lambda y: alike(x, y)))).cast("bigint"))
+    return kept.select("case_id", "i", "state", "j", "kind", "reused", (F.size("ls") - F.col("reused")).cast("bigint").alias("added"))
 
 
 @R.add("""WITH b AS (SELECT DISTINCT record_id, payload FROM building_records WHERE payload LIKE '{%' AND json_valid(payload)),

@@ -41,19 +41,20 @@ def described_layer_sets(spark: SparkSession, sf: str) -> DataFrame:
     SELECT n.case_id, n.i, n.k, 'case_' || n.case_id || CASE WHEN e.k IS NOT NULL THEN '_state_1_layer_' || e.k ELSE '_state_' || n.i || '_layer_' || n.k END AS uri, e.k IS NOT NULL AND n.i > 1 AS reused
     FROM n LEFT JOIN e ON e.case_id = n.case_id AND e.fn IS NOT DISTINCT FROM n.fn AND e.cat IS NOT DISTINCT FROM n.cat AND e.typ IS NOT DISTINCT FROM n.typ AND e.cm IS NOT DISTINCT FROM n.cm""")
 def renovation_layer_uris(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of layers: a layer equal to one of the first state keeps that one's name."""
-    d = table(spark, sf, "tabula_floor_renovation").select("case_id", "renovation_states").distinct()
-    s = d.select("case_id", F.posexplode("renovation_states").alias("p", "s")).select("case_id", (F.col("p") + 1).cast("bigint").alias("i"), F.try_element_at(F.col("s.layer_sets"), F.lit(1))["layers"].alias("ls"))
-    l = s.select("case_id", "i", F.posexplode("ls").alias("q", "l"))  # noqa: E741
-    n = l.select("case_id", "i", (F.col("q") + 1).cast("bigint").alias("k"), F.col("l.predicted_function_iri").alias("fn"), F.col("l.predicted_category_iri").alias("cat"), F.col("l.predicted_type_iri").alias("typ"), F.col("l.thickness_cm").alias("cm"))
-    e = n.where("i = 1").groupBy("case_id", "fn", "cat", "typ", "cm").agg(F.min("k").alias("ek"))
-    e = e.select(F.col("case_id").alias("c"), *[F.col(x).alias("_" + x) for x in ("fn", "cat", "typ", "cm")], "ek")
+    """Names of the layers of every set (j) of every state: a layer equal to one of the first state keeps that one's name. SQL reads the first set alone."""
+    sets = compose.renovation_sets(table(spark, sf, "tabula_floor_renovation"))
+    l = sets.select("case_id", "i", "j", F.posexplode("layers").alias("q", "l"))  # noqa: E741
+    n = l.select("case_id", "i", "j", (F.col("q") + 1).cast("bigint").alias("k"), compose.layer_identity(F.col("l")).alias("x")).select("case_id", "i", "j", "k", "x.*")
+    e = n.where("i = 1").groupBy("case_id", "fn", "cat", "typ", "cm").agg(F.min(F.struct("j", "k")).alias("e"))
+    e = e.select(F.col("case_id").alias("c"), *[F.col(x).alias("_" + x) for x in ("fn", "cat", "typ", "cm")], "e")
     same = F.col("case_id") == F.col("c")
     for x in ("fn", "cat", "typ", "cm"):
         same = same & F.col(x).eqNullSafe(F.col("_" + x))
-    j = n.join(e, same, "left")
-    uri = F.concat(F.lit("case_"), F.col("case_id").cast("string"), F.when(F.col("ek").isNotNull(), F.concat(F.lit("_state_1_layer_"), F.col("ek").cast("string"))).otherwise(F.concat(F.lit("_state_"), F.col("i").cast("string"), F.lit("_layer_"), F.col("k").cast("string"))))
-    return j.select("case_id", "i", "k", uri.alias("uri"), (F.col("ek").isNotNull() & (F.col("i") > 1)).alias("reused"))
+    m = n.join(e, same, "left")
+    known = F.col("e").isNotNull()
+    place = lambda i, j, k: F.concat(F.lit("_state_"), i.cast("string"), F.lit("_set_"), j.cast("string"), F.lit("_layer_"), k.cast("string"))
+    uri = F.concat(F.lit("case_"), F.col("case_id").cast("string"), F.when(known, place(F.lit(1), F.col("e.j"), F.col("e.k"))).otherwise(place(F.col("i"), F.col("j"), F.col("k"))))
+    return m.select("case_id", "i", "j", "k", uri.alias("uri"), (known & (F.col("i") > 1)).alias("reused"))
 
 
 @R.add("""WITH b AS (SELECT DISTINCT box_id, building_id, section_title, page_header FROM page_boxes), v AS (SELECT 'https://data.example/' AS d, 'https://vocab.example/bm#' AS n)
