@@ -135,6 +135,23 @@ def triples(df: DataFrame, key: str, payload: str, layout: dict = BUILDING) -> D
     return rows.mapInPandas(parse, f"key {kind}, {TRIPLE}").withColumnRenamed("key", key)
 
 
+def unwrapped(df: DataFrame, key: str, payload: str, roots: tuple[str, ...] = BUILDING["roots"]) -> DataFrame:
+    """(key, record), one row with plain JSON for every record of a payload; a readable object without any of the roots is its own record."""
+    rows = spread(df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).where(F.col("payload").isNotNull()), "key").distinct()
+    kind = df.schema[key].dataType.simpleString()
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, p in zip(pdf["key"], pdf["payload"]):
+                value = unwrap(p)
+                found = list(records(value, roots)) or ([value] if isinstance(value, dict) else [])
+                out += [(k, json.dumps(r)) for r in found]
+            yield pd.DataFrame(out, columns=["key", "record"])
+
+    return rows.mapInPandas(parse, f"key {kind}, record string").withColumnRenamed("key", key)
+
+
 def nodes(found: DataFrame, key: str) -> DataFrame:
     """(key, parent_node, node), one row per object."""
     return found.select(key, "parent_node", "node").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tektonis.functions import text
-from tektonis.operators import compose, emit, ontology, triples, validate
+from tektonis.operators import compose, emit, nested, ontology, triples, validate
 from tektonis.plans.registry import Registry
 from tektonis.sources import table
 
@@ -228,14 +228,17 @@ def renovation_reuse(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("case_id", "i", "state", "j", "kind", "reused", (F.size("ls") - F.col("reused")).cast("bigint").alias("added"))
 
 
+ENERGY_ROOTS = (*nested.BUILDING["roots"], "energy_need_for_heating", "energy")
+
+
 @R.add("""WITH b AS (SELECT DISTINCT record_id, payload FROM building_records WHERE payload LIKE '{%' AND json_valid(payload)),
     h AS (SELECT record_id, CASE WHEN json_type(payload, '$.building') = 'OBJECT' THEN json_extract_string(payload, '$.building.id') END AS id, json_extract_string(payload, '$.building.size_class') AS size_class,
       coalesce(json_extract_string(payload, '$.energy_need_for_heating.existing_state'), json_extract_string(payload, '$.energy.heating_demand.states.existing_state')) AS existing,
       coalesce(json_extract_string(payload, '$.energy_need_for_heating.advanced_refurbishment.total'), CASE WHEN json_type(payload, '$.energy_need_for_heating.advanced_refurbishment') <> 'OBJECT' THEN json_extract_string(payload, '$.energy_need_for_heating.advanced_refurbishment') END) AS advanced FROM b)
     SELECT record_id, id, size_class, TRY_CAST(existing AS DOUBLE) AS existing, TRY_CAST(advanced AS DOUBLE) AS advanced FROM h""")
 def building_energy(spark: SparkSession, sf: str) -> DataFrame:
-    """Header and energy figures of each payload: two layouts, and a total that is a figure or an object."""
-    b = table(spark, sf, "building_records").select("record_id", "payload").where("payload LIKE '{%'").distinct().withColumn("v", F.try_parse_json("payload")).where("v IS NOT NULL")
+    """Header and energy figures of each record of each payload, however it is wrapped: two layouts, and a total that is a figure or an object. SQL reads bare objects alone."""
+    b = nested.unwrapped(table(spark, sf, "building_records"), "record_id", "payload", ENERGY_ROOTS).withColumn("v", F.try_parse_json("record")).where("v IS NOT NULL")
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
     return b.select(
         "record_id",

@@ -1,5 +1,7 @@
 """Queries over small tables of their own, where the whole job shows."""
 
+import json
+
 import pytest
 
 import __spark_entry__ as entry
@@ -41,3 +43,14 @@ def test_every_set_is_named(spark, tables):
 def test_every_set_is_counted(spark, tables):
     got = sorted((r.i, r.j or 0, r.kind or "", r.reused, r.added) for r in tables("renovation_reuse", tabula_floor_renovation=floors(spark)).collect())
     assert got == [(1, 1, "given", 1, 0), (1, 2, "given", 1, 0), (2, 1, "below", 1, 1), (2, 2, "top", 1, 1), (2, 3, "given", 0, 0), (3, 0, "", 0, 0)]
+
+
+def test_energy_of_wrapped_records(spark, tables):
+    one = {"building": {"id": "B1", "size_class": "AB"}, "energy_need_for_heating": {"existing_state": 200.5, "advanced_refurbishment": {"total": 50}}}
+    two = {"building": {"id": "B2", "size_class": "TH"}, "energy": {"heating_demand": {"states": {"existing_state": 90}}}}
+    plain = json.dumps(one)
+    payloads = [plain, plain, json.dumps(plain), json.dumps(json.dumps(plain)), "\ufeff" + plain, json.dumps({"buildings": [one, two]}), json.dumps([two]), plain[:-3], None, "{}"]
+    df = spark.createDataFrame([(max(i, 1), p) for i, p in enumerate(payloads)], "record_id bigint, payload string")
+    got = sorted(map(tuple, tables("building_energy", building_records=df).collect()), key=str)
+    first, second = ("B1", "AB", 200.5, 50.0), ("B2", "TH", 90.0, None)
+    assert got == [(1, *first), (2, *first), (3, *first), (4, *first), (5, *first), (5, *second), (6, *second), (9, None, None, None, None)]
