@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tektonis.runtime import spread
 
@@ -165,19 +166,39 @@ def pivot_group(found: DataFrame, key: str, grp: str, fields: list[str]) -> Data
     return found.where(F.col("grp") == grp).groupBy(key, "parent_node", "node", "ordinal").agg(*cols)
 
 
-def array_nodes(df: DataFrame, key: str, column: str, levels: list[tuple[str, str]]) -> DataFrame:
-    """(key, parent_node, node, item) for arrays nested in arrays, without leaving the JVM.
+def _fields(item: Column, kind: DataType, skip: str | None, path: str = "") -> list[tuple[str, Column]]:
+    """Field paths and values, as strings, of a member: structs are walked, other arrays and maps are JSON texts."""
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields if path or f.name != skip for x in _fields(item[f.name], f.dataType, skip, f"{path}.{f.name}" if path else f.name)]
+    return [(path or "value", F.to_json(item) if isinstance(kind, (ArrayType, MapType)) else item.cast("string"))]
+
+
+def array_triples(df: DataFrame, key: str, column: str, levels: list[tuple[str, str]]) -> DataFrame:
+    """(key, grp, parent_node, node, ordinal, field, value) for arrays nested in arrays, without leaving the JVM; a member without scalars has one row with a null field.
 
-    `levels` lists, from the outside in, the field that holds the array (the first is `column` itself) and the name its members get in a node path. Every member counts, also a null one; null and empty arrays give none."""
+    `levels` lists, from the outside in, the field that holds the array (the first is `column` itself) and the name its members get in a node path; a group is that path with stars for the places. Every member counts, also a null one; null and empty arrays give none."""
     rows = df.select(F.col(key), F.col(column).alias("_at"))
     out = None
     parent: Column = F.lit("")
+    grp = ""
     for depth, (field, name) in enumerate(levels):
         arr = F.col("_at") if depth == 0 else F.col("_item")[field]
         base = rows.select(key, parent.alias("parent_node"), F.posexplode(arr).alias("_i", "_item"))
         node = F.concat_ws("/", *([] if depth == 0 else ["parent_node"]), F.lit(name), (F.col("_i") + 1).cast("string"))
         rows = base.withColumn("node", node)
-        flat = rows.select(key, "parent_node", "node")
+        grp = f"{grp}/{name}/*".lstrip("/")
+        below = levels[depth + 1][0] if depth + 1 < len(levels) else None
+        pairs = [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in _fields(F.col("_item"), rows.schema["_item"].dataType, below)]
+        none = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")))
+        found = F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()) if pairs else none
+        ordinal = (F.col("_i") + 1).cast("bigint")
+        flat = rows.select(key, F.lit(grp).alias("grp"), "parent_node", "node", ordinal.alias("ordinal"), F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("_t"))
+        flat = flat.select(key, "grp", "parent_node", "node", "ordinal", "_t.field", "_t.value")
         out = flat if out is None else out.unionByName(flat)
         parent = F.col("node")
     return out
+
+
+def array_nodes(df: DataFrame, key: str, column: str, levels: list[tuple[str, str]]) -> DataFrame:
+    """(key, parent_node, node), one row per member of the arrays that `levels` names (see array_triples)."""
+    return nodes(array_triples(df, key, column, levels), key)

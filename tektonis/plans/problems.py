@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     building = nested.nodes(nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload"), "record_id")
-    floors = nested.array_nodes(table(spark, sf, "tabula_floor_renovation"), "case_id", "renovation_states", STATES).distinct()
+    floors = nested.array_nodes(table(spark, sf, "tabula_floor_renovation"), "case_id", "renovation_states", STATES)
     return (
         building.select(F.lit("building").alias("src"), "record_id", "parent_node", "node")
         .unionByName(floors.select(F.lit("renovation").alias("src"), F.col("case_id").alias("record_id"), "parent_node", "node"))
@@ -58,4 +58,41 @@ def p5_element_table(spark: SparkSession, sf: str) -> DataFrame:
     return nested.pivot_group(got, "record_id", "elements/*", ["surface_area_m2", "type_of_construction_eng", "type_of_construction_de", "type_of_construction"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p5_found, p5_element_table)}
+def _building_group(spark: SparkSession, sf: str, grp: str, fields: list[str]) -> DataFrame:
+    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload")
+    return nested.pivot_group(got, "record_id", grp, fields)
+
+
+def _renovation_group(spark: SparkSession, sf: str, depth: int, fields: list[str]) -> DataFrame:
+    levels = STATES[:depth]
+    got = nested.array_triples(table(spark, sf, "tabula_floor_renovation"), "case_id", "renovation_states", STATES)
+    return nested.pivot_group(got, "case_id", "/".join(f"{name}/*" for _, name in levels), fields)
+
+
+def p5_heat_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of heat supply systems; `value` is a bare value in place of the object."""
+    return _building_group(spark, sf, "heat", ["type", "efficiency", "category", "value"])
+
+
+def p5_element_state_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of the states of building elements, each row naming its element."""
+    return _building_group(spark, sf, "elements/*/*", ["u_value_W_m2K", "measure_eng"])
+
+
+def p5_renovation_state_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of renovation states, each row naming its case."""
+    return _renovation_group(spark, sf, 1, ["id", "status_iri", "english", "german"])
+
+
+def p5_renovation_set_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of layer sets, each row naming its state."""
+    return _renovation_group(spark, sf, 2, ["kind"])
+
+
+def p5_renovation_layer_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of layers, each row naming its layer set."""
+    return _renovation_group(spark, sf, 3, ["predicted_function_iri", "predicted_category_iri", "predicted_type_iri", "thickness_cm", "thickness_text"])
+
+
+TABLES = (p5_element_table, p5_heat_table, p5_element_state_table, p5_renovation_state_table, p5_renovation_set_table, p5_renovation_layer_table)
+QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p5_found, *TABLES)}

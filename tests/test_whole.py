@@ -5,6 +5,7 @@ import json
 import pytest
 
 import __spark_entry__ as entry
+from tektonis.operators import nested
 
 
 @pytest.fixture
@@ -54,3 +55,29 @@ def test_energy_of_wrapped_records(spark, tables):
     got = sorted(map(tuple, tables("building_energy", building_records=df).collect()), key=str)
     first, second = ("B1", "AB", 200.5, 50.0), ("B2", "TH", 90.0, None)
     assert got == [(1, *first), (2, *first), (3, *first), (4, *first), (5, *first), (5, *second), (6, *second), (9, None, None, None, None)]
+
+
+def test_flat_tables_of_renovations(spark, tables):
+    df = floors(spark)
+    rows = lambda name: sorted(map(tuple, tables(name, tabula_floor_renovation=df).collect()))
+    assert rows("p5_renovation_state_table") == [(7, "", f"states/{i}", i, s, None, None, None) for i, s in enumerate(["existing", "usual", "advanced"], 1)]
+    assert rows("p5_renovation_set_table") == [(7, f"states/{i}", f"states/{i}/sets/{j}", j, k) for i, j, k in [(1, 1, "given"), (1, 2, "given"), (2, 1, "below"), (2, 2, "top"), (2, 3, "given")]]
+    layers = {r.node: r for r in tables("p5_renovation_layer_table", tabula_floor_renovation=df).collect()}
+    assert len(layers) == 6 and {n.rpartition("/layers/")[0] for n in layers} == {r.parent_node for r in layers.values()}
+    assert layers["states/2/sets/2/layers/2"][4:] == ("f", "c", "t", "2.0", None)
+
+
+def test_flat_tables_of_buildings(spark, tables):
+    one = {"building": {"heat_supply_system": {"type": "x", "category": "c"}}, "elements": {"Wall": {"a": 1, "states": {"existing": {"u_value_W_m2K": 2.5}}}}}
+    df = spark.createDataFrame([(1, json.dumps(one)), (2, json.dumps({"building": {"heat_supply_system": "stove"}}))], "record_id bigint, payload string")
+    assert sorted(map(tuple, tables("p5_heat_table", building_records=df).collect())) == [(1, "", "heat", 1, "x", None, "c", None), (2, "", "heat", 1, None, None, None, "stove")]
+    assert list(map(tuple, tables("p5_element_state_table", building_records=df).collect())) == [(1, "elements/Wall", "elements/Wall/existing", 1, "2.5", None)]
+
+
+def test_triples_of_arrays(spark):
+    schema = "id bigint, at array<struct<a:string,b:struct<c:int>,m:map<string,int>,more:array<int>>>"
+    df = spark.createDataFrame([(1, [("x", (3,), {"k": 1}, [5, None]), (None, None, None, None), None])], schema)
+    got = sorted(map(tuple, nested.array_triples(df, "id", "at", [("at", "at"), ("more", "more")]).collect()), key=str)
+    first = [("at/*", "", "at/1", 1, f, v) for f, v in (("a", "x"), ("b.c", "3"), ("m", '{"k":1}'))]
+    want = [*first, ("at/*", "", "at/2", 2, None, None), ("at/*", "", "at/3", 3, None, None), ("at/*/more/*", "at/1", "at/1/more/1", 1, "value", "5"), ("at/*/more/*", "at/1", "at/1/more/2", 2, None, None)]
+    assert got == sorted(((1, *x) for x in want), key=str)
