@@ -48,6 +48,20 @@ def carry_forward(lines: DataFrame, doc: str, order: str, key: str, value: str)
     return marked.groupBy(doc, "_n", "_k").agg(F.array_join(F.transform(parts, lambda x: x["v"]), " ").alias("value")).select(doc, F.col("_n").alias("no"), F.col("_k").alias("key"), "value")
 
 
+def section_starts(boxes: DataFrame, doc: str, page: str, order: list[str], marks: list[str]) -> DataFrame:
+    """(doc, page, last): pages on which a section begins, and the document's last page of all.
+
+    A section begins with the document's first box and wherever a mark differs from its last known value; a box without a mark goes on with it."""
+    w = Window.partitionBy(doc).orderBy(page, *order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    known = boxes.where(F.col(page).isNotNull()).select(doc, page, *order, *[F.last(m, ignorenulls=True).over(so_far).alias(f"_{i}") for i, m in enumerate(marks)])
+    begins = F.row_number().over(w) == 1
+    for i in range(len(marks)):
+        begins = begins | ~F.col(f"_{i}").eqNullSafe(F.lag(f"_{i}").over(w))
+    marked = known.select(doc, page, begins.alias("_begins"), F.max(page).over(Window.partitionBy(doc)).alias("last"))
+    return marked.where("_begins").select(doc, page, "last").distinct()
+
+
 def section_ranges(entries: DataFrame, doc: str, page: str, last_page: str) -> DataFrame:
     """Entries with the page on which they end: the one before the next entry, or the document's last."""
     w = Window.partitionBy(doc).orderBy(page)

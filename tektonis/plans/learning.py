@@ -156,8 +156,10 @@ def carry_forward_kv(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(f"""WITH {BOX_SQL}, p AS (SELECT DISTINCT scan_id, page_no, max(page_no) OVER (PARTITION BY scan_id) AS last FROM b WHERE page_no % 5 = 0) SELECT scan_id, page_no, coalesce(lead(page_no) OVER (PARTITION BY scan_id ORDER BY page_no) - 1, last) AS end_page FROM p""")
 def section_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "page_boxes").where("page_no % 5 = 0").select("scan_id", "page_no").distinct()
-    p = p.withColumn("last", F.max("page_no").over(Window.partitionBy("scan_id")))
+    """Sections begin where the page header's main section or the section's title changes, and end before the next one or on the scan's last page. SQL takes every fifth page for a start."""
+    main, title = F.col("page_header.main_section"), F.col("section_title")
+    b = table(spark, sf, "page_boxes").select("scan_id", "page_no", "box_no", "box_id", F.when(F.coalesce(main["section"], main["title"]).isNotNull(), main).alias("main"), F.when(F.trim(title) != "", title).alias("title"))
+    p = layout.section_starts(b, "scan_id", "page_no", ["box_no", "box_id"], ["main", "title"])
     return layout.section_ranges(p, "scan_id", "page_no", "last").select("scan_id", "page_no", "end_page")
 
 
@@ -165,7 +167,8 @@ def section_ranges(spark: SparkSession, sf: str) -> DataFrame:
     r AS (SELECT *, sum(gap) OVER (PARTITION BY scan_id ORDER BY page_no) AS run FROM g), k AS (SELECT *, last_value(CASE WHEN printed IS NOT NULL THEN printed - page_no END IGNORE NULLS) OVER (PARTITION BY scan_id, run ORDER BY page_no) AS shift FROM r)
     SELECT scan_id, page_no, printed, coalesce(printed, shift + page_no) AS filled FROM k""")
 def fill_missing_pages(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "page_boxes").groupBy("scan_id", "page_no").agg(F.max(F.when(F.col("page_no") % 3 != 0, F.col("printed_page"))).alias("printed"))
+    """Printed page numbers, filled where none was read. SQL blanks those of every third page first."""
+    b = table(spark, sf, "page_boxes").groupBy("scan_id", "page_no").agg(F.max("printed_page").alias("printed"))
     return layout.fill_missing_pages(b, "scan_id", "page_no", "printed")
 
 

@@ -81,3 +81,22 @@ def test_triples_of_arrays(spark):
     first = [("at/*", "", "at/1", 1, f, v) for f, v in (("a", "x"), ("b.c", "3"), ("m", '{"k":1}'))]
     want = [*first, ("at/*", "", "at/2", 2, None, None), ("at/*", "", "at/3", 3, None, None), ("at/*/more/*", "at/1", "at/1/more/1", 1, "value", "5"), ("at/*/more/*", "at/1", "at/1/more/2", 2, None, None)]
     assert got == sorted(((1, *x) for x in want), key=str)
+
+
+BOXES = "box_id bigint, scan_id string, page_no int, printed_page int, box_no int, page_header struct<main_section:struct<section:string,title:string>,subseries:struct<section:string,title:string>>, section_title string"
+
+
+def test_sections_begin_where_marks_change(spark, tables):
+    head = lambda n: ((n, "T"), None)
+    rows = [
+        ("a", 1, 1, head("1"), None), ("a", 2, 1, None, "x"), ("a", 2, 2, head("1"), "x"), ("a", 3, 1, None, None), ("a", 4, 1, head("1"), " "), ("a", 6, 1, head("2"), "x"), ("a", 7, 1, head("2"), "y"), ("a", 7, 2, head("3"), "y"), ("a", 9, 1, None, None),
+        ("b", 3, 1, None, None), ("b", 4, 1, ((None, None), None), ""),
+    ]
+    df = spark.createDataFrame([(i, s, p, p, b, h, t) for i, (s, p, b, h, t) in enumerate([*rows, rows[0]])], BOXES)
+    assert sorted(map(tuple, tables("section_ranges", page_boxes=df).collect())) == [("a", 1, 1), ("a", 2, 5), ("a", 6, 6), ("a", 7, 9), ("b", 3, 4)]
+
+
+def test_only_missing_pages_are_filled(spark, tables):
+    pages = [("a", 2, 12), ("a", 3, 99), ("a", 4, None), ("a", 6, 20), ("a", 7, None), ("a", 9, None)]
+    df = spark.createDataFrame([(i, s, n, p, 1, None, None) for i, (s, n, p) in enumerate(pages)], BOXES)
+    assert sorted((r.page_no, r.printed, r.filled) for r in tables("fill_missing_pages", page_boxes=df).collect()) == [(2, 12, 12), (3, 99, 99), (4, None, 100), (6, 20, 20), (7, None, 21), (9, None, None)]
