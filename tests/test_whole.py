@@ -100,3 +100,35 @@ def test_only_missing_pages_are_filled(spark, tables):
     pages = [("a", 2, 12), ("a", 3, 99), ("a", 4, None), ("a", 6, 20), ("a", 7, None), ("a", 9, None)]
     df = spark.createDataFrame([(i, s, n, p, 1, None, None) for i, (s, n, p) in enumerate(pages)], BOXES)
     assert sorted((r.page_no, r.printed, r.filled) for r in tables("fill_missing_pages", page_boxes=df).collect()) == [(2, 12, 12), (3, 99, 99), (4, None, 100), (6, 20, 20), (7, None, 21), (9, None, None)]
+
+
+VOCABULARY = [("category", "Brick"), ("category", "Wood"), ("category", "Glass"), ("material", "Clinker"), ("material", "Plank"), ("function", "AirSpace"), ("function", "Tightening")]
+SETS = "set_id bigint, layers array<struct<layer_index:int,predicted_function_iri:string,predicted_category_iri:string,predicted_type_iri:string,thickness_cm:double>>, thickness_cm double, layer_set_description string"
+
+
+def layer_sets(spark, layers):
+    """The vocabulary and one set of layers (function, category, type), given by local names."""
+    iri = lambda x: x and f"https://vocab.example/bm#{x}"
+    made = [(n, *map(iri, x), 1.0) for n, x in enumerate(layers, 1)]
+    words = spark.createDataFrame([(i, k, iri(n), n, n, n) for i, (k, n) in enumerate(VOCABULARY)], "ref_id bigint, kind string, iri string, local_name string, label_en string, label_de string")
+    return {"vocabulary": words, "material_alternatives": spark.createDataFrame([(1, made, None, None)], SETS)}
+
+
+LEGAL = [(f, c, t) for f, c, t in [("AirSpace", "Brick", None), ("Tightening", "Wood", "Plank"), ("Tightening", "Glass", "Clinker")]]
+WRONG = [("Flying", "Cheese", "Gouda")]
+
+
+def test_audit_knows_the_whole_vocabulary(spark, tables):
+    got = lambda layers: {r.kind: (r.n, r.objects) for r in tables("range_audit", **layer_sets(spark, layers)).collect()}
+    assert got(LEGAL) == {"type_orphan": (2, 2)}  # the vocabulary has no edges from types to categories
+    assert got(LEGAL + WRONG) == {"type_orphan": (2, 2), "function_range": (1, 1), "category_range": (1, 1), "type_invalid": (1, 1)}
+
+
+def test_validity_knows_the_whole_vocabulary(spark, tables):
+    got = lambda layers: [tuple(r) for r in tables("validity_pct", **layer_sets(spark, layers)).select("slots", "bad", "validity").collect()]
+    assert got(LEGAL) == [(3, 0, 100.0)] and got(LEGAL + WRONG) == [(4, 1, 75.0)]
+
+
+def test_every_category_is_an_anchor(spark, tables):
+    got = sorted(map(tuple, tables("validated_layer_sets", **layer_sets(spark, [("Tightening", c, None) for c in ("Brick", "Wood", "Glass", "Cheese")])).select("layer_index", "cat").collect()))
+    assert got == [(1, "Brick"), (2, "Wood"), (3, "Glass"), (4, None)]
