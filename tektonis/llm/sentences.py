@@ -2,7 +2,7 @@
 
 Abbreviations, collocations across a period and frequent sentence starters are learned without labels, per language, by log-likelihood ratios over all documents; then every possible end of a sentence is classified by these statistics and by what surrounds it (quotes, brackets, list marks, line ends).
 
-Counting runs in two steps (partial sums in the Python workers, then one aggregation keyed by language and word), so a language that holds most documents is no single task. The learned model holds only words that pass the thresholds. Up to `model_limit` rows it is sent to the workers; beyond, the part of it that a document needs is joined to the document.
+Counting runs in two steps (partial sums in the Python workers, then one aggregation keyed by language and word), so a language that holds most documents is no single task. The learned model holds only words that pass the thresholds. Up to `model_limit` rows it is sent to the workers; beyond, the part of it that a document needs, in all languages, is joined to the document, with the same result.
 
 Defined results
     null, blank text            no sentence
@@ -246,6 +246,7 @@ class Model:
 
 # --- classification -------------------------------------------------------------------------------------------------
 
+_LEADING = "¿¡'‘‚—–-•"  # may stand before the first letter of a sentence, as part of the word
 _OPEN = {"„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》"}
 
 
@@ -272,10 +273,27 @@ def _quoted(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return spans
 
 
+def _before(text: str, a: int, i: int) -> str:
+    """The word that ends at place i of a segment that begins at a."""
+    k = i
+    while k > a and not text[k - 1].isspace() and text[k - 1] not in "\"„“«»(（「『[":
+        k -= 1
+    return text[k:i]
+
+
+def lookups(text: str) -> set[str]:
+    """Every word that the models may be asked for when a text is split: words as they begin a sentence, and words before a period."""
+    out = set()
+    for a, b in segments(text):
+        out |= {_type(m.group().lstrip(_LEADING)).rstrip(".") for m in _WORD.finditer(text, a, b)}
+        out |= {_type(_before(text, a, m.start())) for m in _END.finditer(text, a, b) if m.group()[0] == "."}
+    return out - {""}
+
+
 def _starts_sentence(text: str, i: int, b: int) -> tuple[bool, str]:
     """(whether what follows looks like a beginning rather than a continuation, the type of its first word)."""
     j = i
-    while j < b and (text[j] in "\"„“”«»‹›(（「『[¿¡'‘‚—–-•" or text[j].isspace()):
+    while j < b and (text[j] in "\"„“”«»‹›(（「『[" + _LEADING or text[j].isspace()):
         j += 1
     m = _WORD.match(text, j, b)
     word = m.group() if m else ""
@@ -407,10 +425,7 @@ def split_segment(text: str, a: int, b: int, models: dict[str, Model], lang: str
             if begins:
                 close(f)
             continue
-        k = i
-        while k > a and not text[k - 1].isspace() and text[k - 1] not in "\"„“«»(（「『[":
-            k -= 1
-        raw = text[k:i]
+        raw = _before(text, a, i)
         word = _type(raw)
         opener = text[j] in "\"„«“¿¡「『‹"
         word_is_short = len(raw) <= 6
@@ -472,23 +487,24 @@ def split_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
     def used(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf["text"]):
-                lang, got = counts(t)
-                out += [(k, lang, w) for w in {x for c in got for x in c[1:] if isinstance(x, str)}]
-            yield pd.DataFrame(out, columns=[key, "lang", "word"])
+            yield pd.DataFrame([(k, w) for k, t in zip(pdf[key], pdf["text"]) for w in lookups(t)], columns=[key, "word"])
 
-    words = spread(rows, key).mapInPandas(used, f"`{key}` {kind}, lang string, word string")
-    own = words.join(model, ["lang", "word"]).groupBy(key).agg(F.collect_list(F.struct("kind", "word", "next")).alias("model"))
+    # a word is looked up in the main language of its text and in that around it, so it brings its rules of all languages;
+    # a language without any of them must be known too, since only one that was never learned gives way to the main language
+    learned = [r.lang for r in model.select("lang").distinct().collect()]  # one row a language
+    words = spread(rows, key).mapInPandas(used, f"`{key}` {kind}, word string").distinct()
+    own = words.join(model, "word").groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("lang", "kind", "word", "next")).alias("model"))
 
     def run_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k, t, m in zip(pdf[key], pdf["text"], pdf["model"]):
-                rules = Model([(x["kind"], x["word"], x["next"]) for x in (m if m is not None else ())])
-                out += emit(k, sentences(t, {language(t): rules} if t.strip() else {}))
+                rules: dict[str, list] = {lang: [] for lang in learned}
+                for x in m if m is not None else ():
+                    rules[x["lang"]].append((x["kind"], x["word"], x["next"]))
+                out += emit(k, sentences(t, {lang: Model(r) for lang, r in rules.items()}))
             yield pd.DataFrame(out, columns=[key, "sent_no", "start_char", "end_char"])
 
-    return rows.join(own, key, "left").mapInPandas(run_own, schema)
+    return rows.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").mapInPandas(run_own, schema)
 
 

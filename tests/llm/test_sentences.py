@@ -54,3 +54,21 @@ def test_learns_abbreviations(spark):
     joined = S.split_documents(docs, model_limit=0)  # the way for models too large to send
     assert sorted(map(tuple, joined.where("doc_id < 100").collect())) == out
     assert S.split_documents(docs.limit(0)).count() == 0
+
+
+MIXED = [
+    "The wall of the house was seen by the team and is dry. Das Haus wurde am 4. Obergeschoss und der Decke vgl. Abb. 3 mit der Wand nass. The roof is in the plan.",
+    "Die Wand ist nass und der Putz ist lose. The sensor of the wall was seen at the rear, e.g. Fig. 4 of the plan and Fig. 5. —The roof was dry. Das Dach ist dicht usw. Die Fuge riss.",
+    "The report of the house is in Nr. 7. das Dach und die Wand der Reihe ist in der 3. Etage. the end of it is \u201cetc.\u201d The wall was wet.",
+    "В 1990 г. слой сняли. The wall of the house was in Fig. 3 of the plan. Die Wand ist im 4. Obergeschoss und der Decke nass.",
+]
+
+
+def test_joined_models_split_alike(spark):
+    """Mixed languages: the way for large models gives what the broadcast gives."""
+    found = [(lang, k, w, n) for lang, m in MODELS.items() for k, ws in (("a", m.abbr), ("s", m.start)) for w in ws for n in [""]] + [(lang, "c", w, n) for lang, m in MODELS.items() for w, n in m.pair]
+    model = spark.createDataFrame([*found, ("fr", "a", "nirgends", "")], "lang string, kind string, word string, next string")
+    docs = spark.createDataFrame([*enumerate(MIXED), (None, MIXED[1])], "doc_id bigint, text string")
+    rows = lambda limit: sorted(map(tuple, S.split_documents(docs, model=model, model_limit=limit).collect()), key=str)
+    sent = rows(200_000)
+    assert rows(0) == sent and len(sent) > 10
