@@ -4,24 +4,30 @@ The closure is a fix-point of distributed joins: the frontier alone is joined in
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tektonis.runtime import cut, number_distinct
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(child, ancestor, depth), reflexive and transitive; edges are (child, parent). Null ends are left out."""
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(child, ancestor, depth), reflexive and transitive; edges are (child, parent). Null ends are left out.
+
+    Rounds go on until no pair is new; where a `max_depth` is given, pairs beyond it are an error."""
     edges = cut(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL AND child <> parent").distinct())
     nodes = edges.select(F.col("child").alias("n")).union(edges.select("parent")).distinct()
     found = cut(nodes.select(F.col("n").alias("child"), F.col("n").alias("ancestor"), F.lit(0).alias("depth")))
     frontier = found
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = frontier.select("child", F.col("ancestor").alias("at")).join(edges.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")), "at")
         new = step.select("child", "ancestor").distinct().join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut(new)
         if frontier.isEmpty():
             return found
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"the hierarchy is deeper than {max_depth}")
         found = cut(found.unionByName(frontier))
     return found
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 import __spark_entry__ as entry
-from tektonis.operators import nested
+from tektonis.operators import nested, ontology
 
 
 @pytest.fixture
@@ -132,3 +132,12 @@ def test_validity_knows_the_whole_vocabulary(spark, tables):
 def test_every_category_is_an_anchor(spark, tables):
     got = sorted(map(tuple, tables("validated_layer_sets", **layer_sets(spark, [("Tightening", c, None) for c in ("Brick", "Wood", "Glass", "Cheese")])).select("layer_index", "cat").collect()))
     assert got == [(1, "Brick"), (2, "Wood"), (3, "Glass"), (4, None)]
+
+
+def test_closure_of_a_deep_chain(spark):
+    n = 66
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(n)], "child string, parent string").coalesce(1)
+    got = ontology.closure(chain)
+    assert got.count() == (n + 1) * (n + 2) // 2 and got.where(f"child = 'n0' AND ancestor = 'n{n}' AND depth = {n}").count() == 1
+    with pytest.raises(ValueError):
+        ontology.closure(chain, max_depth=2)
