@@ -220,6 +220,17 @@ def local_alignment(item: str, doc: str, penalty: int = 4) -> tuple[int, int, li
     return i, end, edits
 
 
+def altered_pairs(places: list[int]) -> int:
+    """How many words of two characters the edits take: two edits side by side alter one word."""
+    n, at, room = 0, None, 0
+    for p in sorted(places):
+        if room and p - at <= 1:
+            room -= 1
+        else:
+            n, at, room = n + 1, p, 1
+    return n
+
+
 def leaked(item: str, starts: list[int], doc: str, share: float = 0.5, altered: float = 0.13) -> bool:
     """Whether the document holds at least `share` of the item's characters in one stretch of which at most the share `altered` of the words is altered.
 
@@ -232,7 +243,7 @@ def leaked(item: str, starts: list[int], doc: str, share: float = 0.5, altered:
     words = {of(i) for i, inserts in edits if not (inserts and i in set(starts))}
     n = of(end - 1) - of(first) + 1
     if n * 2.5 > end - first:  # characters rather than words
-        return len(edits) <= altered / 2 * (end - first)
+        return altered_pairs([i for i, _ in edits]) <= max(1, altered / 2 * (end - first))
     return len(words) <= max(1, altered * n)
 
 

@@ -65,3 +65,14 @@ def test_find(spark):
     assert {n for n, _ in small if n < 60} >= {n for n in range(60) if n % 5 in (0, 1)} and not {n for n, _ in small if n < 60 and n % 5 in (2, 4)}
     assert {tuple(r) for r in leaks.find_leaks(d, it, block=4).collect()} == got
     assert leaks.find_leaks(d.limit(0), it).count() == 0 and leaks.find_leaks(d, it.limit(0)).count() == 0
+
+
+def test_altered_words_of_two_characters():
+    rng = random.Random(3)
+    item = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    words = [item[i : i + 2] for i in range(0, 200, 2)]
+    altered = lambda step: "".join("\u9f00\u9f01" if i % step == step // 2 else w for i, w in enumerate(words))
+    s, starts = leaks.normal_form(item)
+    assert leaks.leaked(s, starts, leaks.normal_form(altered(10))[0])  # one word in ten
+    assert not leaks.leaked(s, starts, leaks.normal_form(altered(5))[0])  # one in five
+    assert leaks.altered_pairs([]) == 0 and leaks.altered_pairs([4, 5, 6, 9]) == 3 and leaks.altered_pairs([7] * 5) == 3
