@@ -5,6 +5,7 @@ The provider is called once per distinct description, in Arrow batches; a failur
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tektonis.functions import text as tx
 from tektonis.operators import compose, retrieval
+from tektonis.runtime import cut, too_big
 
 # Branches, mode, final limit, hits per chunk and threshold of each profile.
 PROFILES = {
@@ -30,25 +32,30 @@ def profile(name: str) -> dict:
     return PROFILES[name]
 
 
-def offline(description: str, context: str) -> list[dict] | None:
-    """One layer per clause: its function by words, its material by the first mention, its thickness in cm."""
-    import re
+def offline_layers(description: Column) -> Column:
+    """One layer per clause: its function by words, its material by the first mention, its thickness in cm; null where no clause names any of them."""
+    clauses = F.split(description, r";|,(?!\d)|\s+/\s+", -1)
 
-    out = []
-    for clause in re.split(r";|,(?!\d)|\s+/\s+", description):
-        low = clause.lower()
-        m = re.search(r"(\d+(?:[.,]\d+)?)\s*(cm|mm)", low)
-        cm = None if not m else float(m[1].replace(",", ".")) / (10 if m[2] == "mm" else 1)
-        fn = next((f for w, f in WORD_FUNCTIONS if w in low), None)
-        found = compose.mentions(clause)
-        if cm is not None or fn or found:
-            cat, typ = (found[0][0], found[0][1]) if found else (None, None)
-            out.append({"layer_index": len(out) + 1, "fn": fn or "LoadBearing", "cat": cat if fn != "Air" else None, "typ": typ if fn != "Air" else None, "thickness_cm": cm})
-    return out or None
+    def one(clause: Column) -> Column:
+        low = F.lower(clause)
+        fn = F.coalesce(*[F.when(F.contains(low, F.lit(word)), name) for word, name in WORD_FUNCTIONS])
+        part = lambda n: F.nullif(F.regexp_extract(low, r"(\d+(?:[.,]\d+)?)\s*(cm|mm)", n), F.lit(""))
+        figure = F.translate(part(1), ",", ".").cast("double")
+        return F.struct(F.when(part(2) == "mm", figure / 10).otherwise(figure).alias("cm"), fn.alias("fn"), F.try_element_at(compose.find_mentions(clause), F.lit(1)).alias("m"))
 
+    def made(x: Column) -> Column:
+        fn = F.coalesce(x["fn"], F.lit(compose.LOAD_BEARING))
+        material = lambda c: F.when(fn != compose.AIR, x["m"][c])
+        return compose.layer(fn, material("cat"), material("typ"), x["cm"])
 
-def map_layers(description: Column, context: Column, provider: Provider = offline) -> Column:
-    """Layers of a description by a provider; null where it fails or finds nothing."""
+    told = F.filter(F.transform(clauses, one), lambda x: x["cm"].isNotNull() | x["fn"].isNotNull() | x["m"].isNotNull())
+    return F.nullif(compose.reindex(F.transform(told, made)), F.array().cast(f"array<{compose.LAYER}>"))
+
+
+def map_layers(description: Column, context: Column, provider: Provider | None = None, failures=None) -> Column:
+    """Layers of a description by a provider, or by offline_layers; null where it fails or finds nothing. `failures` is an accumulator that counts the failed calls."""
+    if provider is None:
+        return offline_layers(description)
 
     @F.pandas_udf(f"array<{compose.LAYER}>")
     def run(texts: pd.Series, contexts: pd.Series) -> pd.Series:
@@ -58,6 +65,8 @@ def map_layers(description: Column, context: Column, provider: Provider = offlin
             try:
                 return provider(t, c or "")
             except Exception:
+                if failures is not None:
+                    failures.add(1)
                 return None
 
         return pd.Series([one(t, c) for t, c in zip(texts, contexts)], dtype=object)
@@ -90,16 +99,52 @@ def context_text(found: DataFrame, key: str = "id") -> DataFrame:
     return found.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
 
 
-def process(descriptions: DataFrame, corpus: DataFrame, name: str, provider: Provider = offline, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, topology, layers): retrieval, mapping, rules and validation of each description; a single load-bearing layer where nothing is found."""
-    found = matches(descriptions, corpus, name, key, text)
+@dataclass
+class Vocabulary:
+    """What layers may be made of: (iri, anchor), (iri) of functions, (iri) of types, and the closure (child, ancestor, depth)."""
+
+    anchors: DataFrame
+    functions: DataFrame
+    types: DataFrame
+    closed: DataFrame
+
+    def classes(self) -> DataFrame:
+        return self.anchors.select("iri").union(self.anchors.select("anchor")).union(self.functions.select("iri")).union(self.types.select("iri")).distinct()
+
+
+def first_match_set(found: DataFrame, key: str) -> DataFrame:
+    """(key, fn, cat): the best function and the best material among the matches of a description, for those that no layer is found for."""
+    best = lambda b: F.min(F.when(F.col("branch") == b, F.struct(-F.col("score"), "item")))["item"]
+    return found.groupBy(key).agg(best("layer_function").alias("fn"), best("material").alias("cat"))
+
+
+def process(descriptions: DataFrame, corpus: DataFrame, name: str, provider: Provider | None = None, key: str = "id", text: str = "text", vocabulary: Vocabulary | None = None, failures=None) -> DataFrame:
+    """(key, pos, topology, layers), one row for each set of a description: retrieval, mapping, validation, rules on the materials named, and validation again.
+
+    With a vocabulary, layers keep only what it and the matches of their description allow. A description without any layer gets one of its best function and material, load-bearing where no function is matched. Without a provider the mapping is that of offline_layers."""
+    found = cut(matches(descriptions, corpus, name, key, text))
     d = descriptions.select(key, text).join(context_text(found, key), key, "left")
-    raw = d.withColumn("layers", map_layers(F.col(text), F.col("context"), provider))
-    fallback = F.array(compose.layer("LoadBearing", thickness=tx.thickness_cm(F.col(text))))
-    layers = compose.strip_air(F.coalesce("layers", fallback))
-    layers = F.when(F.rlike(F.lower(F.col(text)), F.lit("(?iU)\\bputz\\b|plaster")), compose.plaster_faces(layers)).otherwise(layers)
-    out = raw.withColumn("layers", compose.reindex(compose.with_signal(layers)))
-    return out.select(key, compose.topology(F.col("layers"), F.lit(compose.SINGLE)).alias("topology"), "layers")
+    mapped = map_layers(F.col(text), F.col("context"), provider, failures)
+    sets = cut(d.select(F.struct(F.col(key).alias("key"), F.lit(0).alias("pos")).alias("_id"), F.col(text).alias("_text"), mapped.alias("layers")))
+    schema = None if vocabulary is None or profile(name)["mode"] != "full" else vocabulary.classes()
+
+    def checked(df: DataFrame) -> DataFrame:
+        if vocabulary is None:
+            return df.select("_id", "layers")
+        own = found.groupBy(F.col(key).alias("_own")).agg(F.collect_set("item").alias("_ok"))  # at most the profile's limit for each branch
+        df = df.select("_id", "layers").join(own, F.col("_id.key").eqNullSafe(F.col("_own")), "left")
+        v = vocabulary
+        return compose.validate_sets(df, "_id", "layers", v.anchors, v.functions, v.types, v.closed, "_ok", schema)
+
+    texts = sets.select(F.col("_id.key").alias("_k"), "_text")
+    back = lambda df: df.join(texts, F.col("_id.key").eqNullSafe(F.col("_k"))).select(F.col("_id.key").alias("_key"), F.col("_id.pos").alias("pos"), F.lit(compose.SINGLE).alias("topology"), tx.thickness_cm(F.col("_text")).alias("thickness_cm"), compose.reindex(compose.with_signal(F.col("layers"))).alias("layers"), "_text")
+    ruled = compose.named_material_rules(back(checked(sets.where("layers IS NOT NULL"))), "_text")
+    final = checked(ruled.select(F.struct(F.col("_key").alias("key"), "pos").alias("_id"), "layers")).where(F.size("layers") > 0)
+    final = cut(final.select(F.col("_id.key").alias(key), F.col("_id.pos").alias("pos"), compose.reindex(compose.with_signal(F.col("layers"))).alias("layers")))
+    none = descriptions.select(key, text).join(final.select(F.col(key).alias("_k")).distinct(), F.col(key).eqNullSafe(F.col("_k")), "left_anti").join(first_match_set(found, key), key, "left")
+    one = compose.layer(F.coalesce("fn", F.lit(compose.LOAD_BEARING)), F.col("cat"), thickness=tx.thickness_cm(F.col(text)))
+    out = final.unionByName(none.select(key, F.lit(0).alias("pos"), compose.reindex(F.array(one)).alias("layers")))
+    return out.select(key, "pos", compose.topology(F.col("layers"), F.lit(compose.SINGLE)).alias("topology"), "layers")
 
 
 def zip_variants(german: Column, english: Column) -> Column:
@@ -125,11 +170,13 @@ def candidate_flags(corpus: DataFrame, functions: DataFrame, topologies: DataFra
     return out.withColumns({"is_function": F.col("is_function") & real, "is_category": F.col("is_category") & real, "is_type": F.col("is_type") & real & ~F.col("is_function")})
 
 
-def allowed_items(found: DataFrame, name: str, schema: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """(key, allowed): the items of a description's matches; in full mode also those of the schema."""
+def allowed_items(found: DataFrame, name: str, schema: DataFrame | None = None, key: str = "id", limit: int = 10_000) -> DataFrame:
+    """(key, allowed): the items of a description's matches; in full mode also those of the schema, of which there may be at most `limit` (validate_sets takes a schema of any size)."""
     own = found.groupBy(key).agg(F.collect_set("item").alias("allowed"))
     if profile(name)["mode"] != "full" or schema is None:
         return own
+    if too_big(schema, limit):
+        raise ValueError(f"the schema has more than {limit} classes; give it to validate_sets")
     extra = schema.agg(F.collect_set("iri").alias("extra"))  # one row: the schema's classes
     return own.crossJoin(F.broadcast(extra)).select(key, F.array_union("allowed", "extra").alias("allowed"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tektonis.functions import text
-from tektonis.operators import compose, emit, nested, ontology, triples, validate
+from tektonis.operators import compose, emit, mapper, nested, ontology, triples, validate
 from tektonis.plans.registry import Registry
 from tektonis.sources import table
 
@@ -204,20 +204,45 @@ def material_mentions(spark: SparkSession, sf: str) -> DataFrame:
 def assigned_materials(spark: SparkSession, sf: str) -> DataFrame:
     s = _sets(spark, sf)
     bare = F.transform("layers", lambda x: x.withField("cat", F.lit(None).cast("string")).withField("typ", F.lit(None).cast("string")))
-    return _flat(compose.assign(s.withColumn("layers", bare), "layers", "description", "assigned"), "assigned")
+    return _flat(compose.with_materials(s.withColumn("layers", bare), "layers", "description", "assigned"), "assigned")
 
 
-@R.add()
-def validated_layer_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Layers against a vocabulary of two levels: the categories are anchors, the types of each name stand below one of them."""
+def vocabulary_levels(spark: SparkSession, sf: str, more: tuple[tuple[str, str], ...] = ()) -> mapper.Vocabulary:
+    """A vocabulary of two levels: the categories are anchors, the types of each name stand below one of them; `more` are further (type, category)."""
     v = table(spark, sf, "vocabulary")
     cats = v.where("kind = 'category'").select(F.col("local_name").alias("parent"), (F.row_number().over(Window.partitionBy(F.col("kind")).orderBy("ref_id")) - 1).alias("n"))
     mats = v.where("kind = 'material'").select(F.col("local_name").alias("child"), (F.row_number().over(Window.partitionBy(F.col("kind")).orderBy("ref_id")) - 1).alias("n"))
     edges = mats.join(cats, "n").select("child", "parent")  # the vocabulary is the reference list
-    own = cats.select(F.col("parent").alias("child"), F.col("parent").alias("ancestor"), F.lit(0).alias("depth"))  # categories without a type below them have no edge
+    names = cats.select("parent")
+    if more:
+        extra = spark.createDataFrame(list(more), "child string, parent string")
+        edges, names = edges.unionByName(extra), names.union(extra.select("parent")).distinct()
+    own = names.select(F.col("parent").alias("child"), F.col("parent").alias("ancestor"), F.lit(0).alias("depth"))  # categories without a type below them have no edge
     closed = ontology.closure(edges).unionByName(own).distinct()
-    anchors = ontology.nearest_anchor(closed, cats.select(F.col("parent").alias("iri")))
-    return _flat(compose.validate_sets(_sets(spark, sf), "set_id", "layers", anchors, _functions(v), edges.select(F.col("child").alias("iri")), closed))
+    anchors = ontology.nearest_anchor(closed, names.select(F.col("parent").alias("iri")))
+    return mapper.Vocabulary(anchors, _functions(v), edges.select(F.col("child").alias("iri")).distinct(), closed)
+
+
+@R.add()
+def validated_layer_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers against a vocabulary of two levels."""
+    v = vocabulary_levels(spark, sf)
+    return _flat(compose.validate_sets(_sets(spark, sf), "set_id", "layers", v.anchors, v.functions, v.types, v.closed))
+
+
+# the pairs that the cues of the material rules stand for, below the categories they name
+CUE_PAIRS = tuple((t, c) for _, c, t in compose.TYPE_CUES)
+
+
+@R.add()
+def repaired_layer_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Layer sets after the rules on named materials and a second validation."""
+    v = vocabulary_levels(spark, sf, CUE_PAIRS)
+    s = _sets(spark, sf).withColumn("pos", F.lit(0)).withColumn("topology", compose.topology(F.col("layers"), F.lit(None)))
+    ruled = compose.named_material_rules(s.select("set_id", "pos", "topology", "thickness_cm", "layers", "description"), "description")
+    ruled = ruled.withColumn("_id", F.struct("set_id", "pos"))
+    got = compose.validate_sets(ruled, "_id", "layers", v.anchors, v.functions, v.types, v.closed)
+    return got.select("_id.set_id", "_id.pos", F.explode("layers").alias("l")).select("set_id", "pos", "l.*")
 
 
 STATES_SQL = """d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_floor_renovation), s AS (SELECT case_id, unnest(renovation_states) AS s, generate_subscripts(renovation_states, 1) AS i FROM d),

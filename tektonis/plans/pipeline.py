@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tektonis.functions import layout as lines
 from tektonis.functions import text
 from tektonis.operators import compose, emit, mapper, triples
+from tektonis.plans.composition import CUE_PAIRS, vocabulary_levels
 from tektonis.plans.registry import Registry
 from tektonis.sources import table
 
@@ -31,8 +32,11 @@ def description_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add()
 def described_layer_sets(spark: SparkSession, sf: str) -> DataFrame:
-    got = mapper.process(_described(spark, sf), _corpus(spark, sf), "tabula")
-    return got.select("id", "topology", compose.summary(F.col("layers")).alias("summary"))
+    known = vocabulary_levels(spark, sf, CUE_PAIRS)
+    words = spark.createDataFrame([(x,) for x in sorted({f for _, f in mapper.WORD_FUNCTIONS} | {compose.LOAD_BEARING})], "iri string")
+    known.functions = known.functions.union(words).distinct()
+    got = mapper.process(_described(spark, sf), _corpus(spark, sf), "tabula", vocabulary=known)
+    return got.select("id", "pos", "topology", compose.summary(F.col("layers")).alias("summary"))
 
 
 @R.add("""WITH d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_floor_renovation), s AS (SELECT case_id, unnest(renovation_states) AS s, generate_subscripts(renovation_states, 1) AS i FROM d),

@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,12 +44,56 @@ def test_text_functions(spark):
     assert r[2].c == [] and r[2].id == "Unknown" and r[3].id == "Unknown"
 
 
-def test_composition_rules():
-    layers = [{"fn": "LoadBearing", "cat": None, "typ": None, "thickness_cm": 24.0}, {"fn": "Air", "cat": None, "typ": None, "thickness_cm": None}, {"fn": "Facade", "cat": None, "typ": None, "thickness_cm": 11.5}]
-    got = compose.assign_materials(layers, "inner leaf of Leichtbeton, air gap; outer leaf of brick")
-    assert [(x["cat"], x["typ"]) for x in got] == [("Concrete", "LightWeightConcrete"), (None, None), ("Brick", None)]
-    assert [m[:2] for m in compose.mentions("Stahlbeton oder Beton, Ziegelelement, Ziegel")] == [("Concrete", "ReinforcedConcrete"), ("Concrete", None), ("Brick", None)]
-    assert compose.mentions(None) == [] and compose.assign_materials([], "") == []
+def test_composition_rules(spark):
+    rows = [([(1, "LoadBearing", None, None, 24.0), (2, "Air", None, None, None), (3, "Facade", None, None, 11.5)], "inner leaf of Leichtbeton, air gap; outer leaf of brick"), ([], "")]
+    got = compose.with_materials(spark.createDataFrame(rows, f"l array<{compose.LAYER}>, t string"), "l", "t", "o").collect()
+    assert [(x["cat"], x["typ"]) for x in got[0].o] == [("Concrete", "LightWeightConcrete"), (None, None), ("Brick", None)] and got[1].o == []
+    texts = spark.createDataFrame([("Stahlbeton oder Beton, Ziegelelement, Ziegel",), (None,)], "t string").select(compose.find_mentions("t").alias("m")).collect()
+    assert [m[:2] for m in texts[0].m] == [("Concrete", "ReinforcedConcrete"), ("Concrete", None), ("Brick", None)]
+    assert texts[1].m == []
+
+
+def test_assignment_against_all_ways(spark):
+    """Against a search through every way to give mentions to layers, of which the first in lexical order that leaves no layer open for nothing is the one."""
+    names = ["inner leaf of concrete", "outer leaf of brick 12 cm", "air gap", "24 cm Leichtbeton", "insulation 8 cm", "tragend Stahlbeton", "Hohllochziegel putz", "", "brick"]
+    kinds = [("LoadBearing", None, None, 24.0), ("Facade", None, None, 12.0), ("Air", None, None, None), ("Insulating", None, None, 8.0), ("Finishing", "Binders", None, None), (None, None, None, 12.0), (None, None, None, None)]
+    rng = random.Random(4)
+    cases = [([(i, *rng.choice(kinds)) for i in range(rng.randrange(0, 5))], rng.choice(["; ", ", ", " und "]).join(rng.sample(names, rng.randrange(1, 5)))) for _ in range(120)]
+    df = spark.createDataFrame(cases, f"l array<{compose.LAYER}>, t string").withColumn("m", compose.find_mentions("t")).repartition(2)
+    for r in compose.with_materials(df, "l", "t", "o").collect():
+        named = [m for m in r.m if m.cat != "Binders"]
+
+        def speaks(words, x):
+            low = words.lower()
+            told = any(w in low for w in compose.FUNCTION_WORDS.get(x.fn, ())) or (x.thickness_cm is not None and re.search(rf"\b{x.thickness_cm:g}\s*cm\b", low))
+            return bool(told)
+
+        fits = lambda m, x: speaks(r.t[max(0, m.start - 80) : m.end + 80], x) or any(m.words.lower() in c.lower() and speaks(c, x) for c in re.split("[;,]", r.t))
+        free = [x.fn != "Air" and not x.cat for x in r.l]
+        ways = itertools.product(*[[i for i, m in enumerate(named) if f and fits(m, x)] + [99] for x, f in zip(r.l, free)])
+        best = min((w for w in ways if len({i for i in w if i < 99}) == sum(i < 99 for i in w)), default=())
+        want = [(named[i].cat, named[i].typ) if i < 99 else (x.cat, x.typ) for i, x in zip(best, r.l)]
+        rest = [n for n, (f, (cat, _)) in enumerate(zip(free, want)) if f and not cat]
+        unused = [m for i, m in enumerate(named) if i not in best]
+        if len(rest) == 1 and (unused or len(named) == 1):
+            m = (unused or named)[0]
+            want[rest[0]] = (m.cat, m.typ)
+        assert [(x.cat, x.typ) for x in r.o] == want, (r.t, r.l)
+
+
+def test_named_material_rules(spark):
+    wall, air = (1, "LoadBearing", None, "Odd", 24.0), (2, "Air", "x", "y", 4.0)
+    rows = [
+        ("a", 0, [wall, air], "Wand aus Leichtbeton oder Ziegel, geputzt"), ("a", 1, [air], "Wand aus Leichtbeton oder Ziegel, geputzt"),
+        ("b", 0, [wall, air], "brick wall"), ("c", 0, [wall], None), ("d", 0, [], "brick"),
+    ]
+    df = spark.createDataFrame([(k, n, "SingleLayer", 30.0, ls, t) for k, n, ls, t in rows], f"k string, pos int, topology string, thickness_cm double, layers array<{compose.LAYER}>, t string")
+    got = {(r.k, r.pos): (r.topology, [tuple(x)[1:] for x in r.layers]) for r in compose.named_material_rules(df, "t").collect()}
+    plaster = ("Finishing", "Binders", "Gypsum", None)
+    assert got == {
+        ("a", 0): ("MultiLayer", [plaster, ("LoadBearing", "Concrete", "LightWeightConcrete", 24.0), plaster]), ("a", 1): ("MultiLayer", [plaster, ("LoadBearing", "Brick", None, 24.0), plaster]),
+        ("b", 0): ("SingleLayer", [("LoadBearing", "Brick", None, 24.0), ("Air", None, None, 4.0)]), ("c", 0): ("SingleLayer", [wall[1:]]),
+    }
 
 
 def test_payload_shapes(spark):
