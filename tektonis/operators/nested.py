@@ -1,14 +1,16 @@
 """Deeply nested records to related flat tables that keep parent-child links.
 
-Every record is parsed into path-value-ordinal triples: one row for every scalar, with the path of the object it belongs to, that object's repeated ancestor and its place among its siblings. Paths are grouped by their repeated ancestor (an array, or an object used as a map), and each group is pivoted into one table whose rows name their parent.
+Every record is parsed into path-value-ordinal triples: one row for every scalar, with the path of the object it belongs to, that object's repeated ancestor and its place among its siblings. Paths are grouped by their repeated ancestor, and each group is pivoted into one table whose rows name their parent. Repeated are the members of every array that holds objects, wherever one is found, and the entries of objects used as maps, which a layout names since nothing in JSON tells them from others. All other fields belong to the record.
 
 Defined results
     null, blank or broken JSON        no triples (a record that ends early gives none at all)
     JSON in a string in JSON          unwrapped, at any depth; a byte-order mark is dropped
-    several records in one payload    taken together
+    several records in one payload    taken together; each has a row of its own in the group `record`
+    scalars outside any record        fields of the one node `payload`
     null or empty objects             no node
     map in list layout                the entry's `name` is its key; an entry without one is keyed by its 1-based place
-    bare value in place of an object  a node with the one field `value`, where the path is declared as such
+    bare value in place of an object  a node with the one field `value`, where the path is declared as such; in a map, a field of the map's owner
+    null values                       no triple
     repeated rows                     one result
     empty table                       empty result with the same columns
     extra columns                     ignored
@@ -34,18 +36,17 @@ BUILDING = {
     "single": {("building", "heat_supply_system"): "heat"},
     "maps": {"elements": "elements/*", "elements/*/states": "elements/*/*"},
 }
+ROOT, PAYLOAD = "record", "payload"  # the groups of a record's own fields, and of what stands beside the records
 
 
 def unwrap(text: str | None):
     """The value of a JSON text that may itself be a JSON string; None if it is broken or incomplete."""
-    for _ in range(8):
-        if not isinstance(text, str):
-            return text
+    while isinstance(text, str):  # each turn undoes one level of quoting, so the text gets shorter
         try:
-            text = json.loads(text.strip().lstrip("﻿"))
-        except ValueError:
+            text = json.loads(text.strip().lstrip("\ufeff"))
+        except (ValueError, RecursionError):
             return None
-    return None
+    return text
 
 
 def records(value, roots: tuple[str, ...]) -> Iterator[dict]:
@@ -64,74 +65,113 @@ def records(value, roots: tuple[str, ...]) -> Iterator[dict]:
             stack += at[::-1]
 
 
-def _scalars(value, path: str = "") -> Iterator[tuple[str, object]]:
-    """Field paths and scalars below an object; members of arrays are numbered from 1."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _scalars(v, f"{path}.{k}" if path else str(k))
-    elif isinstance(value, list):
-        for i, v in enumerate(value, 1):
-            yield from _scalars(v, f"{path}[{i}]")
-    elif value is not None:
-        yield path, value
-
-
 def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def _entries(value) -> Iterator[tuple[str, object, int]]:
+def _keyed(value) -> Iterator[tuple[str, object, int, str]]:
+    """(key, entry, place, path) of a map, or of a list used as one."""
     if isinstance(value, dict):
-        yield from ((str(k), v, i) for i, (k, v) in enumerate(value.items(), 1))
+        yield from ((str(k), v, i, f".{k}") for i, (k, v) in enumerate(value.items(), 1))
     elif isinstance(value, list):
         for i, v in enumerate(value, 1):
-            if isinstance(v, dict) and len(v) > (v.get("name") is not None):
-                yield str(v["name"]) if v.get("name") is not None else str(i), v, i
-
-
-def record_triples(payload: str | None, layout: dict = BUILDING) -> list[tuple]:
-    """(grp, parent_node, node, ordinal, field, value) of one payload; a node without scalars has one row with a null field."""
-    out: list[tuple] = []
-
-    def put(grp: str, parent: str, node: str, ordinal: int, obj, skip: str | None) -> None:
-        own = {k: v for k, v in obj.items() if k != skip} if isinstance(obj, dict) else {"value": obj}
-        n = len(out)
-        out.extend((grp, parent, node, ordinal, f, _text(v)) for f, v in _scalars(own))
-        if len(out) == n:
-            out.append((grp, parent, node, ordinal, None, None))
-
-    def walk(obj: dict, place: str, node: str) -> None:
-        """Entries of the maps below `place`, each a child of `node`."""
-        for path, grp in layout["maps"].items():
-            head, _, name = path.rpartition("/")
-            if head == place and isinstance(obj, dict):
-                below = next((p.rpartition("/")[2] for p in layout["maps"] if p.rpartition("/")[0] == grp), None)
-                for key, value, i in _entries(obj.get(name)):
-                    if isinstance(value, dict) and value:
-                        child = f"{node}/{key}" if node else f"{name}/{key}"
-                        put(grp, node, child, i, value, below)
-                        walk(value, grp, child)
-
-    for record in records(unwrap(payload), layout["roots"]):
-        for path, grp in layout["single"].items():
-            at = record
-            for step in path:
-                at = at.get(step) if isinstance(at, dict) else None
-            if at not in (None, "", {}, []) and not (isinstance(at, str) and not at.strip()):
-                put(grp, "", grp, 1, at if isinstance(at, dict) else at, None)
-        walk(record, "", "")
-    return out
-
-
-def triples(df: DataFrame, key: str, payload: str, layout: dict = BUILDING) -> DataFrame:
-    """(key, grp, parent_node, node, ordinal, field, value), one row per scalar of every record."""
+            named = isinstance(v, dict) and v.get("name") is not None
+            yield str(v["name"]) if named else str(i), v, i, f"[{i}]"
+
+
+class _Triples:
+    """The triples of one payload: each scalar goes to the object, among those that repeat, which it stands in."""
+
+    def __init__(self, layout: dict):
+        self.layout, self.out = layout, []
+        self.single = {".".join(path): grp for path, grp in layout["single"].items()}
+
+    def node(self, grp: str, parent: str, node: str, ordinal: int, value) -> None:
+        """An object with its scalars; one without any has one row with a null field."""
+        n = len(self.out)
+        own = (grp, parent, node, ordinal)
+        if isinstance(value, dict):
+            for k, v in value.items():
+                self.field(own, str(k), v)
+        else:
+            self.field(own, "value", value)
+        if not any(t[:4] == own for t in self.out[n:]):
+            self.out.insert(n, (*own, None, None))
+
+    def field(self, own: tuple, path: str, value) -> None:
+        grp, _, node, _ = own
+        if isinstance(value, dict | list) and (place := f"{grp}/{path}".lstrip("/").removeprefix(ROOT + "/")) in self.layout["maps"]:
+            self.entries(own, path, value, self.layout["maps"][place])
+        elif grp == ROOT and path in self.single and value not in (None, {}, []) and not (isinstance(value, str) and not value.strip()):
+            name = self.single[path]
+            self.node(name, "", name, 1, value)
+        elif isinstance(value, dict):
+            for k, v in value.items():
+                self.field(own, f"{path}.{k}", v)
+        elif isinstance(value, list) and any(isinstance(x, dict | list) for x in value):
+            at = path if grp == ROOT else f"{node}/{path}"
+            for i, x in enumerate(value, 1):
+                if x is not None:
+                    self.node(f"{grp}/{path}/*", node, f"{at}/{i}", i, x)
+        elif isinstance(value, list):
+            for i, x in enumerate(value, 1):
+                self.field(own, f"{path}[{i}]", x)
+        elif value is not None:
+            self.out.append((*own, path, _text(value)))
+
+    def entries(self, own: tuple, path: str, value, grp: str) -> None:
+        """The entries of a map are nodes; what is no object stays a field of the map's owner."""
+        base = f"{path}" if own[0] == ROOT else own[2]
+        parent = "" if own[0] == ROOT else own[2]
+        for key, entry, i, at in _keyed(value):
+            listed = isinstance(value, list)
+            if isinstance(entry, dict) and len(entry) > (listed and entry.get("name") is not None):
+                self.node(grp, parent, f"{base}/{key}", i, entry)
+            else:
+                self.field(own, path + at, entry)
+
+    def payload(self, value, path: str = "", count: list[int] | None = None) -> None:
+        """Records wherever they are wrapped; what stands beside them are fields of the payload."""
+        count = count if count is not None else [0]
+        if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
+            value = got if (got := unwrap(value)) is not None else value
+        if isinstance(value, dict) and any(k in value for k in self.layout["roots"]):
+            count[0] += 1
+            self.node(ROOT, "", f"{ROOT}/{count[0]}", count[0], value)
+        elif isinstance(value, dict):
+            for k, v in value.items():
+                self.payload(v, f"{path}.{k}" if path else str(k), count)
+        elif isinstance(value, list):
+            for i, v in enumerate(value, 1):
+                self.payload(v, f"{path}[{i}]", count)
+        elif value is not None:
+            self.out.append((PAYLOAD, "", PAYLOAD, 1, path or "value", _text(value)))
+
+
+def record_triples(payload: str | None, layout: dict = BUILDING, every: bool = False) -> list[tuple]:
+    """(grp, parent_node, node, ordinal, field, value) of one payload, one for every scalar of the groups that the layout names, with `every` for every scalar there is; a node without scalars has one row with a null field."""
+    got = _Triples(layout)
+    got.payload(unwrap(payload))
+    if every:
+        return got.out
+    named = set(groups(layout))
+    return [t for t in got.out if t[0] in named]
+
+
+def groups(layout: dict = BUILDING) -> list[str]:
+    """The groups that a layout names; the others are found in the data."""
+    return [*layout["single"].values(), *layout["maps"].values()]
+
+
+def triples(df: DataFrame, key: str, payload: str, layout: dict = BUILDING, every: bool = False) -> DataFrame:
+    """(key, grp, parent_node, node, ordinal, field, value), one row per scalar of every record (see record_triples)."""
     rows = spread(df.select(F.col(key).alias("key"), F.col(payload).alias("payload")).where(F.col("payload").isNotNull()), "key").distinct()
     kind = df.schema[key].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["key", *(x.split()[0] for x in TRIPLE.split(", "))]
         for pdf in batches:
-            yield pd.DataFrame([(k, *t) for k, p in zip(pdf["key"], pdf["payload"]) for t in record_triples(p, layout)], columns=names)
+            yield pd.DataFrame([(k, *t) for k, p in zip(pdf["key"], pdf["payload"]) for t in record_triples(p, layout, every)], columns=names)
 
     return rows.mapInPandas(parse, f"key {kind}, {TRIPLE}").withColumnRenamed("key", key)
 

@@ -59,7 +59,7 @@ def p5_element_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _building_group(spark: SparkSession, sf: str, grp: str, fields: list[str]) -> DataFrame:
-    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload")
+    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload", every=True)
     return nested.pivot_group(got, "record_id", grp, fields)
 
 
@@ -69,6 +69,21 @@ def _renovation_group(spark: SparkSession, sf: str, depth: int, fields: list[str
     return nested.pivot_group(got, "case_id", "/".join(f"{name}/*" for _, name in levels), fields)
 
 
+def p5_building_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of records, to which the rows of the other groups belong by record_id."""
+    fields = ["id", "building_json", "size_class", "construction_period", "reference_floor_area_m2", "climate_region"]
+    states = ["existing_state", "usual_refurbishment", "advanced_refurbishment"]
+    energy = [f"{at}.{x}" for at in ("energy_need_for_heating", "energy.heating_demand.states") for x in states]
+    got = _building_group(spark, sf, nested.ROOT, [*[f"building.{f}" for f in fields], "energy_need_for_heating.unit", *energy, "energy_need_for_heating.advanced_refurbishment.total"])
+    return got.select("record_id", "node", "ordinal", *[F.col(f"`{c}`").alias(c.replace("energy_need_for_heating", "need").replace("energy.heating_demand.states", "demand").replace("building.", "").replace(".", "_")) for c in got.columns[4:]])
+
+
+def p5_leaf_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values each group and field holds: the columns that a pivot of the group can have."""
+    got = nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload", every=True)
+    return got.where("field IS NOT NULL").groupBy("grp", "field").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("records"))
+
+
 def p5_heat_table(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of heat supply systems; `value` is a bare value in place of the object."""
     return _building_group(spark, sf, "heat", ["type", "efficiency", "category", "value"])
@@ -94,5 +109,14 @@ def p5_renovation_layer_table(spark: SparkSession, sf: str) -> DataFrame:
     return _renovation_group(spark, sf, 3, ["predicted_function_iri", "predicted_category_iri", "predicted_type_iri", "thickness_cm", "thickness_text"])
 
 
-TABLES = (p5_element_table, p5_heat_table, p5_element_state_table, p5_renovation_state_table, p5_renovation_set_table, p5_renovation_layer_table)
+TABLES = (p5_element_table, p5_building_table, p5_leaf_counts, p5_heat_table, p5_element_state_table, p5_renovation_state_table, p5_renovation_set_table, p5_renovation_layer_table)
 QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p5_found, *TABLES)}
+
+_LAYERS = """d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_floor_renovation), s AS (SELECT case_id, unnest(renovation_states) AS s, generate_subscripts(renovation_states, 1) AS i FROM d),
+    t AS (SELECT case_id, i, unnest(s.layer_sets) AS t, generate_subscripts(s.layer_sets, 1) AS j FROM s), l AS (SELECT case_id, i, j, unnest(t.layers) AS l, generate_subscripts(t.layers, 1) AS k FROM t)"""
+SQL = {
+    "p5_renovation_state_table": f"WITH {_LAYERS} SELECT case_id, '' AS parent_node, 'states/' || i AS node, CAST(i AS BIGINT) AS ordinal, s.id AS id, s.status_iri AS status_iri, s.english AS english, s.german AS german FROM s",
+    "p5_renovation_set_table": f"WITH {_LAYERS} SELECT case_id, 'states/' || i AS parent_node, 'states/' || i || '/sets/' || j AS node, CAST(j AS BIGINT) AS ordinal, t.kind AS kind FROM t",
+    "p5_renovation_layer_table": f"""WITH {_LAYERS} SELECT case_id, 'states/' || i || '/sets/' || j AS parent_node, 'states/' || i || '/sets/' || j || '/layers/' || k AS node, CAST(k AS BIGINT) AS ordinal,
+        l.predicted_function_iri AS predicted_function_iri, l.predicted_category_iri AS predicted_category_iri, l.predicted_type_iri AS predicted_type_iri, CAST(l.thickness_cm AS VARCHAR) AS thickness_cm, l.thickness_text AS thickness_text FROM l""",
+}
