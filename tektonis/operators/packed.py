@@ -23,14 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tektonis.runtime import spread
+from tektonis.runtime import cut, spread, too_big
 
 # Pairs of quotation marks by their opening mark.
 QUOTES = {'"': '"', "'": "'", "„": "“”\"", "“": "”", "«": "»", "‚": "‘’'", "‹": "›", "»": "«", "‘": "’", "`": "`´"}
-# Delimiters that are never part of a value, and those that may be.
-HARD = ("newline", "tab", "pipe", "semicolon", "bullet", "double_slash")
-SOFT = ("comma", "slash", "plus", "ampersand", "word_or")
-CANDIDATES = HARD + SOFT
+# The delimiters that may part values.
+CANDIDATES = ("newline", "tab", "pipe", "semicolon", "bullet", "double_slash", "comma", "slash", "plus", "ampersand", "word_or")
+_QUOTE = re.compile("[" + re.escape("".join(QUOTES)) + "]")
 
 _CUT = re.compile(
     r"(?P<newline>\r\n|\r|\n)|(?P<tab>\t)|(?P<pipe>\|)|(?P<semicolon>;)|(?P<bullet>[•‣▪●◦·])|(?P<double_slash>(?<![:\w])//)"
@@ -47,6 +46,8 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
 
     A doubled mark inside stands for the mark itself; an apostrophe inside a word opens nothing."""
     spans, i, n, fresh = [], 0, len(text), True
+    if not _QUOTE.search(text):
+        return spans
     while i < n:
         c = text[i]
         if fresh and c in QUOTES:
@@ -129,14 +130,14 @@ def bare(piece: str) -> str:
     return "" if s in {"-", "*", "•", "–", "—"} else s
 
 
-def split_packed(text: str | None, active: frozenset[str]) -> list[str]:
-    """The values of one text, in order, split at the active delimiters."""
+def split_packed(text: str | None, active: frozenset[str], masked: str | None = None) -> list[str]:
+    """The values of one text, in order, split at the active delimiters; `masked` is the stripped text with its quoted values blanked, if that is known."""
     if text is None or not text.strip():
         return []
     text = text.strip().lstrip("﻿").strip()
     if (got := _listed(text)) is not None:
         return [x for x in (bare(y) if y[:1] in QUOTES else y.strip() for y in got) if x]
-    masked = _masked(text)
+    masked = masked if masked is not None and len(masked) == len(text) else _masked(text)
     cuts = [m.span() for m in _CUT.finditer(masked) if m.lastgroup in active] + _numbering(masked)
     out, at = [], 0
     for a, b in sorted(cuts):
@@ -160,7 +161,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             masked = _masked(text.strip())
             for name in {m.lastgroup for m in _CUT.finditer(masked)}:
-                pieces = split_packed(text, frozenset([name]))
+                pieces = split_packed(text, frozenset([name]), masked)
                 row = sums.setdefault((source, name), [0, 0, 0, 0, 0])
                 n = len(pieces)
                 row[0] += 1
@@ -178,7 +179,8 @@ def delimiter_scores(df: DataFrame, text: str, source: str | Column, prior: floa
     src = F.col(source) if isinstance(source, str) else source
     raw = df.select(src.cast("string").alias("source"), F.col(text).alias("text"))
     part = raw.mapInPandas(_profile, "source string, delimiter string, n double, pieces double, squares double, regular double, cuts double")
-    per = part.groupBy("source", "delimiter").agg(*[F.sum(c).alias(c) for c in ("n", "pieces", "squares", "regular", "cuts")])
+    # the sums are used twice, and are small beside the texts
+    per = cut(part.groupBy("source", "delimiter").agg(*[F.sum(c).alias(c) for c in ("n", "pieces", "squares", "regular", "cuts")]))
     whole = per.groupBy("delimiter").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "regular", "cuts")])
     mean = F.col("pieces") / F.col("n")
     spread_ = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))) / mean
@@ -190,24 +192,24 @@ def delimiter_scores(df: DataFrame, text: str, source: str | Column, prior: floa
     )
 
 
-def explode_packed(df: DataFrame, key: str, text: str, source: str | Column, threshold: float = 0.35) -> DataFrame:
+def explode_packed(df: DataFrame, key: str, text: str, source: str | Column, threshold: float = 0.35, send_limit: int = 100_000) -> DataFrame:
     """(key, pos, item), one row per value packed in `text`; pos counts from 1.
 
-    A soft delimiter of a source is used if its score reaches `threshold`; hard delimiters always split."""
+    A delimiter splits the texts of a source unless its score there stays below `threshold`. Only the delimiters that a source must not use are brought to its texts: in a broadcast up to `send_limit` sources that have any, by a join beyond."""
     src = (F.col(source) if isinstance(source, str) else source).cast("string")
     rows = df.select(F.col(key).alias("key"), src.alias("source"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.trim("text") != ""))
     rows = spread(rows, "key").distinct()
-    chosen = delimiter_scores(rows, "text", "source").where(F.col("delimiter").isin(*SOFT) & (F.col("score") >= threshold))
-    chosen = chosen.groupBy("source").agg(F.sort_array(F.collect_set("delimiter")).alias("soft"))  # at most len(SOFT) names a source
-    joined = rows.join(chosen.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select("key", "text", "soft")
+    unfit = delimiter_scores(rows, "text", "source").where(F.col("score") < threshold)
+    unfit = cut(unfit.groupBy(F.col("source").alias("of")).agg(F.sort_array(F.collect_set("delimiter")).alias("unfit")))  # at most len(CANDIDATES) names a source
+    joined = rows.join(unfit if too_big(unfit, send_limit) else F.broadcast(unfit), F.col("source").eqNullSafe(F.col("of")), "left").select("key", "text", "unfit")
     kind = df.schema[key].dataType.simpleString()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = frozenset(CANDIDATES)
         for pdf in batches:
             out = []
-            for k, t, s in zip(pdf["key"], pdf["text"], pdf["soft"]):
-                active = frozenset(HARD) | frozenset(s if s is not None else ())
-                out += [(k, i, x) for i, x in enumerate(split_packed(t, active), 1)]
+            for k, t, u in zip(pdf["key"], pdf["text"], pdf["unfit"]):
+                out += [(k, i, x) for i, x in enumerate(split_packed(t, every if u is None else every.difference(u)), 1)]
             yield pd.DataFrame(out, columns=["key", "pos", "item"])
 
     return joined.mapInPandas(pieces, f"key {kind}, pos bigint, item string").distinct().select(F.col("key").alias(key), "pos", "item")

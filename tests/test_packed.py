@@ -46,3 +46,14 @@ def test_source_decides_on_soft_delimiters(spark):
     df = spark.createDataFrame(rows, "id bigint, source string, text string")
     scores = {(r.source, r.delimiter): r.score for r in packed.delimiter_scores(df, "text", "source", prior=1.0).collect()}
     assert scores["a", "slash"] > scores["b", "slash"]
+
+
+def test_every_delimiter_must_prove_itself(spark):
+    # source b has semicolons inside brackets and before bare figures: they part no values there
+    rows = [(i, "a", f"felt {i}; reed; clay") for i in range(200)] + [(1000 + i, "b", f"brick (old; as found; {i})") for i in range(400)] + [(5000, None, "one; two")]
+    df = spark.createDataFrame(rows, "id bigint, source string, text string")
+    for limit in (0, 100):
+        got = {}
+        for r in packed.explode_packed(df, "id", "text", "source", send_limit=limit).collect():
+            got.setdefault(r.id, {})[r.pos] = r.item
+        assert got[3] == {1: "felt 3", 2: "reed", 3: "clay"} and got[1003] == {1: "brick (old; as found; 3)"} and got[5000] == {1: "one", 2: "two"} and len(got) == 601
