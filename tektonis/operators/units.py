@@ -7,7 +7,9 @@ Defined results
     null, zero and negative figures    no case
     unknown unit                       no case (an inner join)
     ranges, sums and pairs             each figure is a quantity of its own
-    inch fractions                     one figure
+    inch fractions                     one figure, also as one character (1½)
+    number words                       English, and German ones below a thousand; halves and quarters
+    thousands                          1,200 mm is 1200 mm, as 1.200 mm; in units above the millimetre three figures behind a mark are decimals
     areas, rates, densities, angles    none: the unit must end where the word ends
     very long text                     one linear pass, no limit
     repeated rows                      one result
@@ -18,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
 from decimal import Decimal
@@ -58,10 +61,28 @@ SPELLINGS = {
 WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 WORDS |= {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 
+SCALES = {"hundred": 100, "thousand": 1000}
+PARTS = {"half": "0.5", "quarter": "0.25", "halb": "0.5", "halbe": "0.5", "halber": "0.5", "halben": "0.5", "halbes": "0.5", "viertel": "0.25"}
+# German number words up to twelve and the tens; the others are made of them by rule.
+GERMAN = {w: i for i, w in enumerate("null ein zwei drei vier fünf sechs sieben acht neun zehn elf zwölf".split())}
+GERMAN_TENS = {w: 10 * i for i, w in enumerate("zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split(), 2)}
+GERMAN_TEENS = {f"{w}zehn": 10 + i for i, w in enumerate("drei vier fünf sech sieb acht neun".split(), 3)}
+_VULGAR = {c: unicodedata.normalize("NFKC", c).replace("\u2044", "/") for c in "¼½¾⅓⅔⅛⅜⅝⅞"}
+
 ALIAS = {s: u for u, names in SPELLINGS.items() for s in names.split()}
 _UNIT = "|".join(sorted((re.escape(s) for s in ALIAS if s.isalpha()), key=len, reverse=True))
-_WORD = "|".join(sorted(WORDS, key=len, reverse=True))
-_NUM = rf"(?:\d+\s+\d+/\d+|\d+/\d+|\d+(?:[.,]\d+)?|\b(?:{_WORD})(?:[\s-](?:{_WORD}))?\b)"
+_of = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_WORD = _of(WORDS)
+_ENGLISH = rf"(?:{_WORD})(?:(?:[\s-]+|\s+and\s+)(?:{_WORD}|hundred|thousand))*(?:\s+and\s+a\s+half)?|hundred|thousand"
+_ONES = _of(w for w in GERMAN if w != "null")
+_BELOW = rf"(?:(?:{_ONES})und(?:{_of(GERMAN_TENS)})|{_of(GERMAN_TENS)}|{_of(GERMAN_TEENS)}|{_of(w for w in GERMAN if w not in ('null', 'ein'))})"
+_DEUTSCH = rf"(?:(?:{_ONES})?hundert(?:und)?{_BELOW}|(?:{_ONES})?hundert|{_BELOW})"
+_FRACTION = "".join(_VULGAR)
+# thousands are parted by a mark, or by a narrow or fixed space; whether a mark of three figures is one depends on the unit
+_NUM = (
+    rf"(?:\d+\s+\d+/\d+|\d+/\d+|\d*\s?[{_FRACTION}]|\d{{1,3}}(?:[.,'’\u00a0\u202f]\d{{3}})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
+    rf"|\b(?:{_of(PARTS)})(?:\s+of)?(?:\s+an?)?\b|\b(?:{_ENGLISH})\b|\b{_DEUTSCH}\b)"
+)
 _QUANTITY = re.compile(
     rf"(?<![\w.,])(?P<nums>{_NUM}(?:\s*(?:[-–—+/×x]|\bto\b|\band\b|\bor\b|\bbis\b|\bund\b|\boder\b)\s*{_NUM})*)[\s-]*"
     rf"(?:(?P<unit>{_UNIT})(?![\w²³^])(?!\s*/\s*[a-z(])(?!\.\w)|(?P<mark>[\"″”]))",
@@ -102,16 +123,50 @@ def conversion_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "unit string, canonical string, factor decimal(24,9), offset decimal(24,9)")
 
 
-def number(text: str) -> Decimal | None:
-    """The value of a figure: digits with point or comma, a plain or mixed fraction, or a number word."""
+def _german(word: str) -> int | None:
+    """The value of a German number word below a thousand."""
+    head, hundred, rest = word.rpartition("hundert")
+    value = 100 * GERMAN.get(head or "ein", 1) if hundred else 0
+    rest = rest.removeprefix("und") if hundred else rest
+    for table in (GERMAN, GERMAN_TEENS, GERMAN_TENS):
+        if rest in table:
+            return value + table[rest]
+    one, _, ten = rest.partition("und")
+    if one in GERMAN and ten in GERMAN_TENS:
+        return value + GERMAN[one] + GERMAN_TENS[ten]
+    return value if hundred and not rest else None
+
+
+def _in_words(words: list[str]) -> Decimal | None:
+    """The value of English number words: each scale multiplies what stands before it."""
+    total = below = Decimal(0)
+    for w in words:
+        if w in SCALES:
+            below = (below or 1) * SCALES[w]
+            total, below = (total + below, Decimal(0)) if w == "thousand" else (total, below)
+        else:
+            below += Decimal(PARTS[w]) if w in PARTS else WORDS[w]
+    return total + below
+
+
+def number(text: str, unit: str | None = None) -> Decimal | None:
+    """The value of a figure: digits with point or comma, a plain or mixed fraction, or number words.
+
+    Three figures behind a single mark are thousands in units as small as a millimetre (1,200 mm), decimals in others (6.125 in)."""
     s = text.strip().lower()
+    for c, plain in _VULGAR.items():
+        s = s.replace(c, f" {plain}")
+    s = s.strip()
     if s[:1].isdigit():
         m = re.fullmatch(r"(?:(\d+)\s+)?(\d+)/(\d+)", s)
         if m:
             return Decimal(m[1] or 0) + Decimal(m[2]) / Decimal(m[3]) if int(m[3]) else None
-        return Decimal(s.replace(",", "."))
-    parts = [WORDS[w] for w in re.split(r"[\s-]+", s) if w in WORDS]
-    return Decimal(sum(parts)) if parts else None
+        m = re.fullmatch(r"([1-9]\d{0,2})((?:[.,'’\u00a0\u202f]\d{3})+)(?:[.,](\d+))?", s)
+        if m and (unit in ("mm", "um") or m[2][0] not in ".," or len(m[2]) > 4 or m[3]):
+            return Decimal(re.sub(r"\D", "", m[1] + m[2]) + "." + (m[3] or "0")).normalize() + 0
+        return Decimal(s.replace(",", ".")) if re.fullmatch(r"\d+(?:[.,]\d+)?", s) else None
+    words = [w for w in re.split(r"[\s-]+", s) if w in WORDS or w in SCALES or w in PARTS]
+    return _in_words(words) if words else None if (value := _german(s)) is None else Decimal(value)
 
 
 def quantities(text: str | None) -> list[tuple[Decimal, str]]:
@@ -127,7 +182,7 @@ def quantities(text: str | None) -> list[tuple[Decimal, str]]:
                 figures += [x for x in re.split(r"[\s/]+", s) if x]
             else:
                 figures.append(s)
-        out += [(v, unit) for v in map(number, figures) if v is not None]
+        out += [(v, unit) for v in (number(f, unit) for f in figures) if v is not None]
     return out
 
 
@@ -150,7 +205,8 @@ def thickness(text: str | None, figure: float | None, note: str | None, stated:
         m = re.fullmatch(rf"\D*?({_NUM})\s*", text.strip(), re.I)
         if not m:
             return None
-        value, unit = number(m[1]), noted_unit(note) or "cm"
+        unit = noted_unit(note) or "cm"
+        value = number(m[1], unit)
         return (str(value), unit) if value is not None and value > 0 and "-" not in text[: m.start(1)] else None
     if figure is None or figure != figure or figure <= 0:
         return None

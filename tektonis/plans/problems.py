@@ -43,6 +43,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return units.to_common(layer.unionByName(roof)).where(F.col("um") > 0).select("src", "record_id", "node", "mention_no", "um").distinct()
 
 
+def p4_unread(spark: SparkSession, sf: str) -> DataFrame:
+    """Thickness texts that hold no readable length, with the number of layers that have them: what p4_found leaves out is said here."""
+    layers = _layers(table(spark, sf, "tabula_floor_renovation")).where("thickness_text IS NOT NULL AND trim(thickness_text) <> ''").distinct()
+    texts = layers.groupBy("thickness_text").agg(F.count("*").alias("layers")).withColumnRenamed("thickness_text", "text")
+    read = units.text_quantities(texts.select("text", F.col("text").alias("of")), "of").select("text").distinct()
+    bare = F.rlike("text", F.lit(r"^\D*?\d+([.,/]\d+)?\s*$"))  # a figure alone, in the unit of the remark
+    return texts.join(read, "text", "left_anti").where(~bare)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     building = nested.nodes(nested.triples(table(spark, sf, "building_records").select("record_id", "payload"), "record_id", "payload"), "record_id")
     floors = nested.array_nodes(table(spark, sf, "tabula_floor_renovation"), "case_id", "renovation_states", STATES)
@@ -110,7 +119,7 @@ def p5_renovation_layer_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TABLES = (p5_element_table, p5_building_table, p5_leaf_counts, p5_heat_table, p5_element_state_table, p5_renovation_state_table, p5_renovation_set_table, p5_renovation_layer_table)
-QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p5_found, *TABLES)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p4_unread, p5_found, *TABLES)}
 
 _LAYERS = """d AS (SELECT DISTINCT case_id, renovation_states FROM tabula_floor_renovation), s AS (SELECT case_id, unnest(renovation_states) AS s, generate_subscripts(renovation_states, 1) AS i FROM d),
     t AS (SELECT case_id, i, unnest(s.layer_sets) AS t, generate_subscripts(s.layer_sets, 1) AS j FROM s), l AS (SELECT case_id, i, j, unnest(t.layers) AS l, generate_subscripts(t.layers, 1) AS k FROM t)"""

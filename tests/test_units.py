@@ -27,6 +27,27 @@ def test_quantities(text, found):
     assert [(str(v), u) for v, u in units.quantities(text)] == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("1,200 mm", [("1200", "mm")]),
+        ("1.200,5 mm and 12'500 mm", [("1200.5", "mm"), ("12500", "mm")]),
+        ("0,125 m, 6.125 in", [("0.125", "m"), ("6.125", "in")]),
+        ("one hundred and twenty mm", [("120", "mm")]),
+        ("two hundred mm", [("200", "mm")]),
+        ("half an inch", [("0.5", "in")]),
+        ("one and a half inches", [("1.5", "in")]),
+        ("1½ in, ¾ inch", [("1.5", "in"), ("0.75", "in")]),
+        ("zwanzig cm", [("20", "cm")]),
+        ("fünfundzwanzig Zentimeter oder hundertzwanzig mm", [("25", "cm"), ("120", "mm")]),
+        ("zweihundert mm", [("200", "mm")]),
+        ("ein in Holz gefasster Rand", []),
+    ],
+)
+def test_figures_in_words(text, found):
+    assert [(f"{v:f}", u) for v, u in units.quantities(text)] == found
+
+
 @pytest.mark.parametrize("note,unit", [(None, None), ("in.", "in"), ("Angaben in m", "m"), ("thickness in dm", "dm"), ("draft", None), ("Maße in Zoll", "in"), ("checked against sheet, centimetres", "cm")])
 def test_noted_unit(note, unit):
     assert units.noted_unit(note) == unit
