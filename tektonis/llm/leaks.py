@@ -1,16 +1,18 @@
 """Documents that hold a passage of a held-out test item, whole or in part, with small alterations.
 
-Texts are reduced to letters and digits in one form. Item-sized windows (a quarter of the item, so that a stretch of half of it holds many) are embedded by random walks: at each step a window yields the character under its pointer, and a random bit of step and character moves the pointer. Two windows at a small edit distance walk in step nearly always, so their embeddings differ in few places. Samples of places of several independent embeddings are the keys of a locality-sensitive hash. The items' keys are looked up for every window of every document; what meets is checked by q-gram count (a bound that loses nothing) and by an exact alignment.
+Texts are reduced to letters and digits in one form. Item-sized windows (a quarter of the item, so that a stretch of half of it holds many) are embedded by random walks: at each step a window yields the character under its pointer, and a random bit of step and character moves the pointer. Two windows at a small edit distance walk in step nearly always, so their embeddings differ in few places. Samples of places of several independent embeddings are the keys of a locality-sensitive hash. The keys of the items are a table of their own; every window of every document is looked up in a bitmap of them, and what is in it is joined with the table. Pairs that share a key are checked by the density of common q-grams and by an exact alignment.
 
-Items are a query set: they go to the workers in blocks of at most `block` items, so nothing is joined pairwise and nothing of the corpus leaves the executors.
+The corpus is read once, however many items there are. Only the bitmap goes to the workers: it has at most 2 ** `map_bits` bits, and beyond the number of keys that fill it well more windows pass it and are sorted out by the join. Documents without a window in the bitmap go no further.
+
+Neither the hash nor the density is a bound that loses nothing: the hash misses a stretch in which nearly every window is altered, and a density of 0.6 is what an alteration of one word in eight leaves if words have three characters or more on average. Recall is measured in the tests and in the README.
 
 Defined results
     null, blank text                 no leak
-    items below 48 characters        no hash: a stretch of half may be shorter than a window, so every document is checked
-    items below 24 characters        only as a whole, unaltered
+    items below 48 characters        shorter windows, of 6 or 8 characters, and q-grams of 4
+    items below 6 characters         only as a whole
     item that occurs in the corpus many times   every such document is reported
     copies of a document             each is reported
-    very long text                   all its windows, in one pass
+    very long text                   all its windows, in one pass; each dense part is aligned by itself
     repeated rows                    one result
     empty documents or items         empty result with the same columns
     extra columns                    ignored
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tektonis.runtime import spread
+from tektonis.runtime import cut, python_partitions, spread, too_big
 
 WINDOWS = (24, 32, 48, 64, 96)
+SHORT = (1, 2, 3, 4, 5, 6, 8, 12, 16)  # windows of items for which those are too long
+WHOLE = 6  # shorter items are found only as a whole
 PACE = 1.6  # steps of a walk per character of its window: the pointer stays inside
 _UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø": "oe", "å": "a", "æ": "ae", "œ": "oe"})
 _TOKENS = re.compile(r"[^\W_]+")
@@ -59,8 +62,10 @@ def codes(s: str) -> np.ndarray:
 
 
 def window_size(n: int) -> int:
-    """The window of an item of n characters: a quarter of it, the next lower size there is."""
-    return max((w for w in WINDOWS if w <= n // 4), default=WINDOWS[0])
+    """The window of an item of n characters: a quarter of it, the next lower size there is, but six characters at least."""
+    if n < WHOLE:
+        return n
+    return max((w for w in (*SHORT, *WINDOWS) if w <= n // 4), default=WHOLE) if n >= 4 * WHOLE else WHOLE
 
 
 class Walks:
@@ -71,11 +76,11 @@ class Walks:
         self.steps = int(WINDOWS[-1] * PACE)
         self.bits = rng.integers(0, 2, size=(embeddings, self.steps, 256), dtype=np.int32)
         self.tables: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # (embedding, window, places, multipliers)
-        for w in WINDOWS:
-            steps = int(w * PACE)
+        for w in (*WINDOWS, *SHORT):
+            steps = max(1, int(w * PACE))
             for e in range(embeddings):
                 for _ in range(tables):
-                    k = max(10, min(26, int(steps * sample)))
+                    k = min(steps, max(10, min(26, int(steps * sample))))
                     self.tables.append((e, w, np.sort(rng.choice(steps, size=k, replace=False)), rng.integers(1, 2**63, size=k, dtype=np.uint64) | np.uint64(1)))
         self.embeddings = embeddings
 
@@ -106,73 +111,18 @@ class Walks:
                 yield t, rows, key
 
 
-class ItemIndex:
-    """The keys of one block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], walks: Walks):
-        self.walks = walks
-        self.texts: dict[int, str] = {}
-        self.starts: dict[int, list[int]] = {}
-        grams, chars, starts, room, owner, size = {}, [], [], [], [], []
-        base = 0
-        for item, text in items:
-            s, first = normal_form(text)
-            if not s:
-                continue
-            self.texts[item] = s
-            self.starts[item] = first
-            grams[item] = gram_hashes(codes(s))
-            w = window_size(len(s))
-            chars.append(codes(s))
-            for f in first:
-                if len(s) - f >= w:
-                    starts.append(base + f)
-                    room.append(len(s) - f)
-                    owner.append(item)
-                    size.append(w)
-            base += len(s)
-        self.grams = grams
-        keys, who = [], []
-        if starts:
-            own, sz = np.array(owner), np.array(size)
-            for t, rows, key in walks.keys(np.concatenate(chars), np.array(starts), np.array(room)):
-                mine = sz[rows] == walks.tables[t][1]
-                keys.append(key[mine])
-                who.append(own[rows[mine]])
-        k = np.concatenate(keys) if keys else np.array([], np.uint64)
-        o = np.concatenate(who) if who else np.array([], np.int64)
-        order = np.argsort(k, kind="stable")
-        self.keys, self.owner = k[order], o[order]
-        self.windows = {w for w in WINDOWS if w in set(size)}
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.tiny = [i for i, s in self.texts.items() if len(s) < WINDOWS[0]]
-        self.short = [i for i, s in self.texts.items() if WINDOWS[0] <= len(s) < 2 * WINDOWS[0]]
-
-    def meet(self, chars: np.ndarray, starts: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows of starts, items) that share a key."""
-        for _, rows, key in self.walks.keys(chars, starts, room, self.windows):
-            hit = self.seen[(key & np.uint64((1 << 22) - 1)).astype(np.int64)]
-            if not hit.any():
-                continue
-            rows, key = rows[hit], key[hit]
-            a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            n = b - a
-            if n.any():
-                flat = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield np.repeat(rows, n), self.owner[flat]
-
-
-Q = 6
-
-
-def gram_hashes(chars: np.ndarray) -> np.ndarray:
-    """A hash of every run of Q characters."""
-    if len(chars) < Q:
+def gram_size(n: int) -> int:
+    """The length of the q-grams that an item of n characters is checked by."""
+    return 6 if n >= 2 * WINDOWS[0] else 4
+
+
+def gram_hashes(chars: np.ndarray, q: int = 6) -> np.ndarray:
+    """A hash of every run of q characters."""
+    if len(chars) < q:
         return np.array([], np.uint64)
-    out = np.zeros(len(chars) - Q + 1, np.uint64)
-    for i in range(Q):
-        out = out * np.uint64(1_000_003) + chars[i : len(chars) - Q + 1 + i].astype(np.uint64)
+    out = np.zeros(len(chars) - q + 1, np.uint64)
+    for i in range(q):
+        out = out * np.uint64(1_000_003) + chars[i : len(chars) - q + 1 + i].astype(np.uint64)
     return out
 
 
@@ -247,80 +197,153 @@ def leaked(item: str, starts: list[int], doc: str, share: float = 0.5, altered:
     return len(words) <= max(1, altered * n)
 
 
-def candidates(docs: list[tuple], index: ItemIndex, least: float = 0.6) -> Iterator[tuple]:
-    """(document key, item, part of the document in one form) of pairs that share a window key and enough q-grams."""
-    chars, starts, room, owner, forms = [], [], [], [], []
-    base = 0
-    for key, text in docs:
-        s, first = normal_form(text) if text else ("", [])
-        forms.append((key, s))
+def dense_parts(item: str, doc: str, least: float = 0.6) -> Iterator[str]:
+    """The parts of a document in which a stretch of half the item can lie, by the share of q-grams in common; one that goes on and on is given in overlapping pieces."""
+    q = gram_size(len(item))
+    g, d = gram_hashes(codes(item), q), gram_hashes(codes(doc), q)
+    if not len(g) or not len(d):
+        if item in doc:
+            yield item
+        return
+    half = len(item) // 2
+    width = max(1, half - q)
+    if q < 6:  # one edit of two characters breaks so many of the few q-grams of a short stretch
+        least = max(0.2, 1 - (q + 1) / max(1, half - q + 1))
+    own = np.sort(g)
+    at = np.searchsorted(own, d)
+    at[at == len(own)] = 0
+    where = dense(own[at] == d, width, least)
+    if not len(where):
+        return
+    reach = len(item) + q
+    breaks = np.flatnonzero(np.diff(where) > reach)
+    for first, last in zip(np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(where) - 1]])):
+        a, b = max(0, int(where[first]) - reach), int(where[last]) + 2 * reach
+        step = 4 * reach
+        for x in range(a, max(a + 1, b - 2 * reach), step):
+            yield doc[x : min(b, x + step + 2 * reach)]
+
+
+def holds(item: str, starts: list[int], doc: str, share: float = 0.5, altered: float = 0.13) -> bool:
+    """Whether a document in one form holds a stretch of an item (see leaked)."""
+    if len(item) < WHOLE:
+        return item in doc
+    return any(leaked(item, starts, part, share, altered) for part in dense_parts(item, doc))
+
+
+def item_forms(items: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, form, starts, window) of the items that have any letter or digit."""
+    held = items.select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(i, *normal_form(t)) for i, t in zip(pdf["item"], pdf["text"])]
+            yield pd.DataFrame([(i, s, f, window_size(len(s))) for i, s, f in got if s], columns=["item", "form", "starts", "window"])
+
+    return held.mapInPandas(form, "item bigint, form string, starts array<int>, window int")
+
+
+def item_keys(forms: DataFrame) -> DataFrame:
+    """(item, k): the keys of the windows of each item."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walks = Walks()
+        for pdf in batches:
+            items, found = [np.array([], np.int64)], [np.array([], np.uint64)]
+            for i, s, first, w in zip(pdf["item"], pdf["form"], pdf["starts"], pdf["window"]):
+                at = np.asarray(first, np.int64)
+                at = at[len(s) - at >= w]
+                for _, rows, key in walks.keys(codes(s), at, np.full(len(at), w), {w}) if len(at) else ():
+                    items.append(np.full(len(rows), i))
+                    found.append(key)
+            yield pd.DataFrame({"item": np.concatenate(items), "k": np.concatenate(found).view(np.int64)})
+
+    return forms.mapInPandas(keys, "item bigint, k bigint").distinct()
+
+
+def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Two bits for every key, or-ed together where the keys are; what comes to the driver are at most 2 ** (bits - 6) words."""
+    mask = (1 << bits) - 1
+    places = keys.select(F.explode(F.array(F.col("k").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("k", 32).bitwiseAND(F.lit(mask)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("v")).toArrow()
+    out = np.zeros(1 << max(0, bits - 6), np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    mask = np.uint64((1 << bits) - 1)
+
+    def has(p: np.ndarray) -> np.ndarray:
+        return (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+
+    seen = has(keys & mask)
+    seen[seen] = has((keys[seen] >> np.uint64(32)) & mask)
+    return seen
+
+
+def _marked(texts: list[str], bitmap: np.ndarray, bits: int, walks: Walks, windows: set[int]) -> list[tuple[str, np.ndarray]]:
+    """(form, its keys that are in the bitmap) of each text."""
+    forms, chars, starts, room, owner, base = [], [], [], [], [], 0
+    for n, text in enumerate(texts):
+        s, first = normal_form(text)
+        forms.append(s)
         if s:
             f = np.array(first, np.int64)
             chars.append(codes(s))
             starts.append(f + base)
             room.append(len(s) - f)
-            owner.append(np.full(len(f), len(forms) - 1))
+            owner.append(np.full(len(f), n))
             base += len(s)
-    pairs: dict[int, set[int]] = defaultdict(set)
+    who, what = [np.array([], np.int64)], [np.array([], np.uint64)]
     if starts:
         own = np.concatenate(owner)
-        for rows, items in index.meet(np.concatenate(chars), np.concatenate(starts), np.concatenate(room)):
-            both = np.unique(np.stack([own[rows], items]), axis=1)
-            for d, i in both.T:
-                pairs[int(d)].add(int(i))
-    for n, (key, s) in enumerate(forms):
-        for i in index.tiny:
-            if index.texts[i] in s:
-                yield key, i, s
-        if index.short and s:
-            pairs[n].update(index.short)
-        if n not in pairs:
-            continue
-        grams = gram_hashes(codes(s))
-        mine = np.unique(grams)
-        for i in sorted(pairs[n].difference(index.tiny)):
-            g = index.grams[i]
-            if not len(mine):
-                continue
-            width = len(index.texts[i]) // 2 - Q
-            at = np.searchsorted(mine, g)
-            at[at == len(mine)] = 0
-            if not len(dense(mine[at] == g, width, least)):
-                continue
-            own = np.sort(g)
-            at = np.searchsorted(own, grams)
-            at[at == len(own)] = 0
-            where = dense(own[at] == grams, width, least)
-            if len(where):
-                # the part of the document in which such a stretch can lie
-                yield key, i, s[max(0, int(where[0]) - len(g)) : int(where[-1]) + 2 * len(g)]
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.5, altered: float = 0.13, block: int = 1000) -> DataFrame:
-    """(key, item), one row for each document and item of which it holds a stretch."""
-    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "key")
-    held = items.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    blocks = -(-held.count() // block) or 1
+        for _, rows, key in walks.keys(np.concatenate(chars), np.concatenate(starts), np.concatenate(room), windows):
+            hit = _in_bitmap(bitmap, bits, key)
+            who.append(own[rows[hit]])
+            what.append(key[hit])
+    o, k = np.concatenate(who), np.concatenate(what)
+    order = np.argsort(o, kind="stable")
+    cuts = np.searchsorted(o[order], np.arange(len(texts) + 1))
+    return [(s, np.unique(k[order][a:b])) for s, a, b in zip(forms, cuts, cuts[1:])]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.5, altered: float = 0.13, map_bits: int = 27, send_limit: int = 2_000_000) -> DataFrame:
+    """(key, item), one row for each document and item of which it holds a stretch.
+
+    The items' keys, and their texts, are broadcast up to `send_limit` rows; beyond, they are joined by a shuffle."""
     kind = docs.schema[key].dataType.simpleString()
-    out = None
-    for n in range(blocks):
-        part = [(r.item, r.text) for r in held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == n).collect()]  # about `block` items
-
-        def search(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(part, Walks())
-            for pdf in batches:
-                found = []
-                size = 0
-                chunk: list[tuple] = []
-                for row in zip(pdf["key"], pdf["text"]):
-                    chunk.append(row)
-                    size += len(row[1])
-                    if size > 400_000:
-                        found += [(k, i) for k, i, s in candidates(chunk, index) if leaked(index.texts[i], index.starts[i], s, share, altered)]
-                        chunk, size = [], 0
-                found += [(k, i) for k, i, s in candidates(chunk, index) if leaked(index.texts[i], index.starts[i], s, share, altered)]
-                yield pd.DataFrame(found, columns=["key", "item"])
-
-        got = rows.mapInPandas(search, f"key {kind}, item bigint")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct().select(F.col("key").alias(key), F.col("item").alias(item))
+    rows = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "key")
+    forms = cut(item_forms(items, item, item_text))
+    keys = cut(item_keys(forms.repartition(python_partitions(docs.sparkSession), "item")))
+    bits = min(map_bits, max(16, (16 * keys.count()).bit_length()))
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(keys, bits))
+    windows = {r.window for r in forms.select("window").distinct().collect()}  # at most one for each window size
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walks = Walks()
+        for pdf in batches:
+            chunk, size = [], 0
+            ends = [*range(1, len(pdf) + 1)]
+            for end, k, t in zip(ends, pdf["key"], pdf["text"]):
+                chunk.append((k, t))
+                size += len(t)
+                if size > 400_000 or end == len(pdf):
+                    got = _marked([t for _, t in chunk], bitmap.value, bits, walks, windows)
+                    out = [(k, s, ks.view(np.int64)) for (k, _), (s, ks) in zip(chunk, got) if len(ks)]
+                    yield pd.DataFrame(out, columns=["key", "form", "ks"])
+                    chunk, size = [], 0
+
+    near = rows.mapInPandas(look, f"key {kind}, form string, ks array<bigint>")
+    near = cut(near.withColumn("doc", F.xxhash64("key", "form")))
+    few = lambda df: df if too_big(df, send_limit) else F.broadcast(df)
+    pairs = near.select("doc", F.explode("ks").alias("k")).distinct().join(few(keys), "k").select("doc", "item").distinct()
+    both = pairs.join(near.select("doc", "key", F.col("form").alias("text")).distinct(), "doc").join(few(forms.drop("window")), "item")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [holds(s, list(f), t, share, altered) for s, f, t in zip(pdf["form"], pdf["starts"], pdf["text"])]
+            yield pdf.loc[np.array(ok, bool), ["key", "item"]]
+
+    found = both.select("key", "item", "text", "form", "starts").mapInPandas(verify, f"key {kind}, item bigint")
+    return found.distinct().select(F.col("key").alias(key), F.col("item").alias(item))

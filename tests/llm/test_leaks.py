@@ -63,7 +63,7 @@ def test_find(spark):
     small = {x for x in got if x[0] != 103}
     assert small <= want and len(small) >= 0.95 * len(want)
     assert {n for n, _ in small if n < 60} >= {n for n in range(60) if n % 5 in (0, 1)} and not {n for n, _ in small if n < 60 and n % 5 in (2, 4)}
-    assert {tuple(r) for r in leaks.find_leaks(d, it, block=4).collect()} == got
+    assert {tuple(r) for r in leaks.find_leaks(d, it, map_bits=8, send_limit=0).collect()} == got
     assert leaks.find_leaks(d.limit(0), it).count() == 0 and leaks.find_leaks(d, it.limit(0)).count() == 0
 
 
@@ -76,3 +76,43 @@ def test_altered_words_of_two_characters():
     assert leaks.leaked(s, starts, leaks.normal_form(altered(10))[0])  # one word in ten
     assert not leaks.leaked(s, starts, leaks.normal_form(altered(5))[0])  # one in five
     assert leaks.altered_pairs([]) == 0 and leaks.altered_pairs([4, 5, 6, 9]) == 3 and leaks.altered_pairs([7] * 5) == 3
+
+
+def stretch(item, doc, share=0.5, edits=2):
+    """Whether `doc` has a substring within `edits` of a part of `item` of the given share, by a plain table of best starts (no alignment score, no q-gram)."""
+    n, need = len(item), -(-len(item) * share // 1)
+    # for every place of the item and of the document: the longest part of the item that ends here with e edits
+    prev = [[0] * (len(doc) + 1) for _ in range(edits + 1)]
+    for i in range(1, n + 1):
+        cur = [[0] * (len(doc) + 1) for _ in range(edits + 1)]
+        for e in range(edits + 1):
+            row, up, less, less_up = cur[e], prev[e], cur[e - 1], prev[e - 1]
+            for j in range(1, len(doc) + 1):
+                best = up[j - 1] + 1 if item[i - 1] == doc[j - 1] else 0
+                if e:
+                    best = max(best, less_up[j - 1] + 1, less_up[j] + 1, less[j - 1])
+                row[j] = best
+                if best >= need:
+                    return True
+        prev = cur
+    return False
+
+
+def test_short_items(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(900)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, some(3 + i % 4)) for i in range(120)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        k = rng.randrange(len(w))
+        at = rng.randrange(len(w[k]))
+        w[k] = w[k][:at] + "q" + w[k][at + 1 :]  # one word altered
+        docs.append((i, f"{some(30)} {' '.join(w)} {some(30)}"))
+    d, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(r) for r in leaks.find_leaks(d, it).collect()}
+    forms = {i: leaks.normal_form(t) for i, t in items}
+    planted = {(i, i) for i, t in docs if leaks.leaked(*forms[i], leaks.normal_form(t)[0])}
+    assert len(planted) > 90 and len(got & planted) >= 0.9 * len(planted)
+    assert all(stretch(forms[i][0], leaks.normal_form(docs[d][1])[0]) for d, i in got)
