@@ -41,6 +41,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.repair(table(spark, sf, "page_boxes"))
 
 
+def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The repaired texts, as continuous paragraphs."""
+    return scans.paragraphs(table(spark, sf, "page_boxes"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -71,7 +76,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p6_found, p7_mix, p7_shares, p7_mix_chars, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_paragraphs, p6_found, p7_mix, p7_shares, p7_mix_chars, p8_found)}
 
 SQL = {
     "p7_mix_chars": """

@@ -1,11 +1,12 @@
 """Repair of text read from scanned pages: running headers, page numbers, words broken over line ends, misread characters.
 
-The lexicon is the corpus itself: every word with its frequency, and every pair of neighbouring words. A symmetric-delete index (each word under its prefix with up to two characters left out) joins rare words with frequent ones; a weighted edit distance, in which the usual confusions of a reader of scans cost little, measures the candidates; the neighbours' counts choose between them.
+The lexicon is the corpus itself: every word with its frequency, and every pair of neighbouring words. A symmetric-delete index (each word, and its forms with one character for two that are confused, under its prefix with two characters left out and its length) joins rare words with frequent ones; a weighted edit distance, in which the usual confusions of a reader of scans and those that the corpus shows cost little, measures the candidates; the neighbours' counts choose between them.
 
 All counts are distributed sums over all pages. Words are matched as distinct words, never per occurrence, so a hot word costs no more than a rare one, and repairs are joined back to their places.
 
 Defined results
     null, empty and blank texts     no fault
+    JSON object or array            no fault; what merely begins like one is a text
     a single line                   no header and no page number: the value itself may be a number
     null page header                the titles of the scan's other pages serve; without any, only repeated headings are found
     null printed page               page numbers only where dressed as such
@@ -18,6 +19,8 @@ Defined results
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +47,9 @@ HYPHENS = "-‐‑¬­–"
 _BREAK = re.compile(rf"([^\W\d_][\w'’./]*(?:-[\w]+)*?)[{HYPHENS}]\s*$")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'„“”‚‘’«»‹›()[]{}<>.,;:!?…*•_|=~"
-_PAGE = re.compile(r"^[\W_]*(?:(?P<word>Seite|S|Bl|Blatt|Page|page|p|pag|Pag|Sheet|SEITE|BLATT|seite|blatt|Selte|8eite|5eite|Scite|Seile|Seitc)\b\.?\s*)?(?P<n>[\dOoIlZSBz|]{1,5})(?P<of>\s*(?:von|of|/|aus|vori|vo11|vcn|van)\s*[\dOoIlZSBz|]{1,5})?[\W_]*$")
+# Words that stand before a page number, and between it and the number of pages.
+PAGE_WORDS, OF_WORDS = ("Seite", "Blatt", "Page", "Sheet", "Bl", "Pag", "S", "p"), ("von", "of", "aus")
+_PAGE = re.compile(r"^[\W_]*(?:(?P<word>\w{1,7})\b\.?\s+|(?P<tight>[^\W\d_]{1,5})\.?\s*)?(?P<n>[\dOoIlZSBz|]{1,5})(?P<of>\s*(?:/|\b(?P<between>\w{2,4})\b)\s*[\dOoIlZSBz|]{1,5})?[\W_]*$")
 _SECTION = re.compile(r"^\s*(?P<sec>[\dlIOoSZB]{1,2}(?:[.,][\dlIOoSZB]{1,2}){1,3})\.?\s+(?P<title>\S.*)$")
 _NUMBER_STARTS = frozenset("0123456789lIOoSZB([-–—_|")
 _CONJUNCTIONS = {"und", "oder", "bis", "sowie", "bzw", "bzw.", "als", "noch", "and", "or", "to"}
@@ -54,14 +59,15 @@ def is_word(w: str) -> bool:
     return any(c.isalpha() for c in w)
 
 
-def weighted_distance(read: str, meant: str, limit: float = 2.2) -> float:
-    """Edit distance from a read word to the word meant; known confusions cost little, also those of one character with two."""
+def weighted_distance(read: str, meant: str, limit: float = 2.2, costs: dict[tuple[str, str], float] = _COST) -> float:
+    """Edit distance from a read word to the word meant; confusions cost little, also those of one character with two. `limit` + 1 where it is above the limit."""
     n, m = len(read), len(meant)
     big = limit + 1
     if abs(n - m) > 3:
         return big
     d = [[big] * (m + 1) for _ in range(n + 1)]
     d[0][0] = 0.0
+    before = 0.0
     for i in range(n + 1):
         row = d[i]
         best = big
@@ -70,21 +76,38 @@ def weighted_distance(read: str, meant: str, limit: float = 2.2) -> float:
             if i and j and read[i - 1] == meant[j - 1] and d[i - 1][j - 1] < at:
                 at = d[i - 1][j - 1]
             if i and j:
-                c = d[i - 1][j - 1] + _COST.get((meant[j - 1], read[i - 1]), 1.0)
+                c = d[i - 1][j - 1] + costs.get((meant[j - 1], read[i - 1]), 1.0)
                 at = c if c < at else at
             if i and d[i - 1][j] + 1 < at:
                 at = d[i - 1][j] + 1
             if j and row[j - 1] + 1 < at:
                 at = row[j - 1] + 1
-            if i > 1 and j and (c := _COST.get((meant[j - 1], read[i - 2 : i]))) is not None and d[i - 2][j - 1] + c < at:
+            if i > 1 and j and (c := costs.get((meant[j - 1], read[i - 2 : i]))) is not None and d[i - 2][j - 1] + c < at:
                 at = d[i - 2][j - 1] + c
-            if i and j > 1 and (c := _COST.get((meant[j - 2 : j], read[i - 1]))) is not None and d[i - 1][j - 2] + c < at:
+            if i and j > 1 and (c := costs.get((meant[j - 2 : j], read[i - 1]))) is not None and d[i - 1][j - 2] + c < at:
                 at = d[i - 1][j - 2] + c
             row[j] = at
             best = at if at < best else best
-        if best > limit and i > 3:
-            return big
-    return d[n][m]
+        if best > limit and before > limit:
+            return big  # a confusion reaches back two characters, no farther
+        before = best
+    return min(d[n][m], big)
+
+
+def _means(word: str, known: tuple[str, ...]) -> bool:
+    """Whether a word is one of the known ones, or a misreading of one of three characters or more."""
+    forms = [f for k in known for f in (k, k.lower(), k.upper())]
+    return word in forms or any(len(f) > 2 and abs(len(word) - len(f)) <= 2 and weighted_distance(word, f, 1.0) <= 0.9 for f in forms)
+
+
+def is_record(value: str) -> bool:
+    """Whether a value is a JSON object or array rather than scanned text."""
+    if value.lstrip()[:1] not in ("{", "["):
+        return False
+    try:
+        return isinstance(json.loads(value), dict | list)
+    except (ValueError, RecursionError):
+        return False
 
 
 def header_key(line: str) -> str:
@@ -109,12 +132,13 @@ def _strip_page(line: str, page: int | None) -> str:
 def page_number(line: str, page: int | None) -> bool:
     """Whether a line holds the page number and nothing else."""
     m = _PAGE.match(line)
-    if not m or not any(c.isdigit() for c in m["n"]) and not m["word"]:
+    word = m and (m["word"] or m["tight"])
+    if not m or not any(c.isdigit() for c in m["n"]) and not word or word and not _means(word, PAGE_WORDS) or m["between"] and not _means(m["between"], OF_WORDS):
         return False
     n = m["n"].translate(_AS_DIGIT)
     if page is not None:
-        return n == str(page) and (m["word"] is not None or m["of"] is not None or not re.search(r"[,%°]", line))
-    return m["word"] is not None or m["of"] is not None or bool(re.match(r"^\s*[-–—_\[(]", line))
+        return n == str(page) and (word is not None or m["of"] is not None or not re.search(r"[,%°]", line))
+    return word is not None or m["of"] is not None or bool(re.match(r"^\s*[-–—_\[(]", line))
 
 
 def classify(lines: list[str], titles: tuple[str, ...], page: int | None, known: frozenset[str] | set[str]) -> list[str]:
@@ -219,13 +243,33 @@ _FIGURE = re.compile(r"^(?=.*[A-Za-z])([A-Z0-9]{1,3}-)?[0-9OoIlZSB.,/]+$")
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
+# confusions of one character with two, as (what is read, one character in its place)
+_FOLDS = tuple(dict.fromkeys((b, a) for a, b in CONFUSIONS if len(b) == 2)) + tuple(dict.fromkeys((a, b) for a, b in CONFUSIONS if len(a) == 2 and (b, a) not in CONFUSIONS))
+
+
+def folded(word: str, skip: str = "") -> str:
+    """The word with one character for each two that may stand for it."""
+    for two, one in _FOLDS:
+        if two != skip and two in word:
+            word = word.replace(two, one)
+    return word
+
+
+def forms(word: str) -> set[str]:
+    """The word as it is, folded, and folded but for one kind of pair, which may stand in it by chance."""
+    return {word, folded(word), *(folded(word, two) for two, _ in _FOLDS if two in word)}
+
+
 def deletes(word: str, reach: int = 2, prefix: int = 7) -> set[str]:
-    """The word's prefix with up to `reach` characters left out."""
-    level = {word[:prefix]}
-    out = set(level)
-    for _ in range(reach):
-        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-        out |= level
+    """Keys of a word: the prefixes of its forms with `reach` characters left out, and the forms' lengths.
+
+    Two forms of the same length that differ in up to `reach` characters share a key; confusions of one character with two are folded, so they change no length."""
+    out = set()
+    for form in forms(word):
+        level = {form[:prefix]}
+        for _ in range(min(reach, len(form) - 1)):
+            level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out |= {f"{len(form)}:{w}" for w in level}
     return out
 
 
@@ -286,8 +330,8 @@ def _parsed(pdf: pd.DataFrame, known: frozenset[str]) -> Iterator[tuple]:
     """(key, prop, kinds of the lines, words) of each scanned text of a batch."""
     heads = pdf["heads"] if "heads" in pdf else [None] * len(pdf)
     for key, prop, value, titles, page, own in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["titles"], pdf["page"], heads):
-        if value.lstrip()[:1] == "{":
-            continue  # a small JSON object, no scanned text
+        if is_record(value):
+            continue
         lines = value.split("\n")
         kinds = classify(lines, tuple(titles if titles is not None else ()), None if page is None or page != page else int(page), known if own is None else frozenset(own))
         yield key, prop, kinds, words_of(lines, kinds)
@@ -343,10 +387,54 @@ def neighbour_counts(rows: DataFrame, known: frozenset[str], meant: DataFrame) -
     return side(0, "before", "left_n"), side(1, "after", "right_n")
 
 
-def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: float = 12.0) -> DataFrame:
-    """(word, meant, cost, meant_n, n): for each query word the frequent words within reach by known confusions.
+def _change(read: str, meant: str) -> tuple[str, str] | None:
+    """(what is written, what is read) where two words differ in one place inside, by one or two characters for one; None if they differ otherwise, or at their ends, where words are inflected."""
+    a = 0
+    while a < min(len(read), len(meant)) and read[a] == meant[a]:
+        a += 1
+    z = 0
+    while z < min(len(read), len(meant)) - a and read[-1 - z] == meant[-1 - z]:
+        z += 1
+    got = (meant[a : len(meant) - z], read[a : len(read) - z])
+    if a < 1 or z < 2 or tuple(map(len, got)) not in ((1, 1), (1, 2), (2, 1)):
+        return None
+    return got
+
+
+def learned_costs(pairs: DataFrame, good: DataFrame, least: float = 10.0, rate: float = 0.02, rounds: int = 2, most: int = 500) -> dict[tuple[str, str], float]:
+    """Costs of the confusions that the corpus itself shows, beside the fixed ones.
+
+    Rare words and frequent ones that differ in one place inside are taken for misread ones. A rare word may have several explanations, so in turns each explanation gets its share by the rates of its confusion, and each confusion its rate: how many explained words there are for every frequent word that it could have befallen. Confusions of `least` words and a `rate` are kept, `most` at most, the commonest first; the cost falls with the rate. What comes to the driver are these."""
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(w, m, *c) for w, m in zip(pdf["word"], pdf["meant"]) if (c := _change(w, m)) and c not in _COST]
+            yield pd.DataFrame(out, columns=["word", "meant", "a", "b"])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got: Counter = Counter()
+            for w in pdf["word"]:
+                got.update({w[i : i + k] for k in (1, 2) for i in range(1, len(w) - 1 - k)})
+            yield pd.DataFrame(list(got.items()), columns=["a", "has"])
+
+    told = cut(pairs.select("word", "meant").mapInPandas(aligned, "word string, meant string, a string, b string"))
+    has = cut(good.select("word").mapInPandas(parts, "a string, has bigint").groupBy("a").agg(F.sum("has").alias("has")))
+    rates = None
+    for _ in range(rounds):
+        weighed = told.withColumn("p", F.lit(1.0)) if rates is None else told.join(rates.select("a", "b", F.col("rate").alias("p")), ["a", "b"])
+        whole = weighed.groupBy("word").agg(F.sum("p").alias("all"))
+        shares = weighed.join(whole, "word").groupBy("a", "b").agg(F.sum(F.col("p") / F.col("all")).alias("n"))
+        rates = cut(shares.join(has, "a").select("a", "b", "n", (F.col("n") / F.col("has")).alias("rate")))
+    kept = rates.where((F.col("n") >= least) & (F.col("rate") >= rate)).orderBy(F.desc("n"), "a", "b").limit(most).collect()
+    return {(r.a, r.b): max(CHEAP, min(0.85, -CHEAP * math.log10(r.rate))) for r in kept}
+
 
-    `queries` has word and n. A candidate occurs at least `frequent` times, and `ratio` times as often as the query word."""
+def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: float = 12.0, learn: bool = True) -> DataFrame:
+    """(word, meant, cost, meant_n, n): for each query word the frequent words within reach by confusions.
+
+    `queries` has word and n. A candidate occurs at least `frequent` times, and `ratio` times as often as the query word. Confusions are the fixed ones and, with `learn`, those of learned_costs."""
+    parts = python_partitions(lex.sparkSession)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -354,21 +442,24 @@ def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: flo
             yield pd.DataFrame(out, columns=["word", "n", "k"])
 
     good = lex.where((F.col("n") >= frequent) & (F.length("word") > 1) & F.col("word").rlike(r"^[^0-9]*$"))
-    left = queries.mapInPandas(keys, "word string, n bigint, k string").select("word", "n", F.xxhash64("k").alias("k"))
-    right = good.mapInPandas(keys, "word string, n bigint, k string").select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.xxhash64("k").alias("k"))
+    # so many partitions, or the few bytes of the words would be one task
+    left = queries.repartition(parts, "word").mapInPandas(keys, "word string, n bigint, k string").select("word", "n", F.xxhash64("k").alias("k"))
+    right = good.repartition(parts, "word").mapInPandas(keys, "word string, n bigint, k string").select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.xxhash64("k").alias("k"))
     near = F.abs(F.length("word") - F.length("meant")) <= 2
     pairs = left.join(right, "k").where((F.col("word") != F.col("meant")) & near & (F.col("meant_n") >= F.col("n") * ratio)).select("word", "n", "meant", "meant_n").distinct()
+    pairs = cut(pairs)
+    costs = _COST | (learned_costs(pairs, good) if learn else {})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cost = [weighted_distance(a, b, 1.0) for a, b in zip(pdf["word"], pdf["meant"])]
+            cost = [weighted_distance(a, b, 1.0, costs) for a, b in zip(pdf["word"], pdf["meant"])]
             yield pdf.assign(cost=cost)[lambda x: x["cost"] <= 0.9]
 
     return pairs.mapInPandas(measure, "word string, n bigint, meant string, meant_n bigint, cost double")
 
 
-def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000, word_limit: int = 1_000_000) -> DataFrame:
-    """(key, prop, line_no, kind, repaired), one row per fault.
+def faults(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000, word_limit: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """((key, prop, value, ...), (key, prop, line_no, kind, word, repaired)): the texts, and one row per fault with the word as it was read; of a broken word with its parts joined.
 
     Words are counted and matched as distinct words; the texts are parsed again to find the places of the misread ones, so that words are never written out or shuffled per place. Up to `word_limit` misread words go to the workers; beyond, all places are joined."""
     # the join with the scans' titles left the rows by scan, of which one may be hot
@@ -400,7 +491,7 @@ def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", titl
 
     wanted = None if too_big(ways, word_limit) else frozenset(r.word for r in ways.select("word").collect())  # at most word_limit
     words = cut(_read_words(rows, known, wanted))
-    lines = words.where(F.col("kind").isin("header", "page_no")).select("key", "prop", "line_no", "kind", F.lit("").alias("repaired"))
+    lines = words.where(F.col("kind").isin("header", "page_no")).select("key", "prop", "line_no", "kind", F.lit("").alias("word"), F.lit("").alias("repaired"))
     plain = words.where(F.col("kind") == "word").select("key", "prop", "line_no", "word", "before", "after")
     broken = words.where(F.col("kind") == "hyphen").join(forms.select("first", "second", "joined"), ["first", "second"])
     broken = broken.select("key", "prop", "line_no", F.col("joined").alias("word"), "before", "after")
@@ -417,10 +508,10 @@ def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", titl
         choice = unsure.groupBy("key", "prop", "line_no", "of", "word", "before", "after").agg(F.max_by("meant", F.struct(score, F.col("meant_n"), F.col("meant"))).alias("meant"))
         fixed = fixed.unionByName(choice.select("key", "prop", "line_no", "of", "word", "meant"))
 
-    chars = fixed.where("of = 'char'").select("key", "prop", "line_no", F.lit("char").alias("kind"), F.col("meant").alias("repaired"))
+    chars = fixed.where("of = 'char'").select("key", "prop", "line_no", F.lit("char").alias("kind"), "word", F.col("meant").alias("repaired"))
     whole = fixed.where("of = 'hyphen'").select("key", "prop", "line_no", "word", "meant").distinct()
     hyph = broken.select("key", "prop", "line_no", "word").distinct().join(whole, ["key", "prop", "line_no", "word"], "left")
-    hyph = hyph.select("key", "prop", "line_no", F.lit("hyphen").alias("kind"), F.coalesce("meant", "word").alias("repaired"))
+    hyph = hyph.select("key", "prop", "line_no", F.lit("hyphen").alias("kind"), "word", F.coalesce("meant", "word").alias("repaired"))
 
     @F.pandas_udf("string")
     def number(w: pd.Series, after: pd.Series) -> pd.Series:
@@ -428,5 +519,64 @@ def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", titl
 
     figures = plain.where(F.col("word").rlike(_FIGURE.pattern))
     figures = figures.withColumn("repaired", number("word", "after")).where(F.col("repaired").isNotNull())
-    digits = figures.select("key", "prop", "line_no", F.lit("char").alias("kind"), "repaired")
-    return lines.unionByName(hyph).unionByName(chars).unionByName(digits).distinct().withColumnRenamed("key", key)
+    digits = figures.select("key", "prop", "line_no", F.lit("char").alias("kind"), "word", "repaired")
+    return rows, lines.unionByName(hyph).unionByName(chars).unionByName(digits)
+
+
+def repair(boxes: DataFrame, key: str = "box_id", text: str = "properties", title_limit: int = 100_000, word_limit: int = 1_000_000) -> DataFrame:
+    """(key, prop, line_no, kind, repaired), one row per fault."""
+    found = faults(boxes, key, text, title_limit, word_limit)[1]
+    return found.select("key", "prop", "line_no", "kind", "repaired").distinct().withColumnRenamed("key", key)
+
+
+def repaired_text(value: str, found: list[tuple[int, str, str, str]]) -> list[str]:
+    """The paragraphs of a text less its faults (line_no, kind, word, repaired): its lines made continuous, without headers and page numbers, words whole and put right."""
+    drop = {n for n, kind, _, _ in found if kind in ("header", "page_no")}
+    chars = {(n, w): r for n, kind, w, r in found if kind == "char"}
+    hyphens = {n: r for n, kind, _, r in found if kind == "hyphen"}
+    out: list[list[str]] = [[]]
+    joined = ""
+    for n, line in enumerate(value.split("\n"), 1):
+        if n in drop:
+            continue
+        if not line.strip():
+            if out[-1] and not joined:
+                out.append([])
+            continue
+        tokens = _TOKEN.findall(line)
+        if joined:  # this line begins with the second half of a word
+            tail = tokens[0][len(tokens[0].rstrip(_EDGE)) :]
+            out[-1][-1] += tail
+            tokens = tokens[1:]
+            joined = ""
+        for i, t in enumerate(tokens):
+            core = t.strip(_EDGE)
+            if i == len(tokens) - 1 and n in hyphens:
+                head = t[: len(t) - len(t.lstrip(_EDGE))]
+                out[-1].append(head + hyphens[n])
+                joined = hyphens[n]
+            elif core and (n, core) in chars:
+                a = t.find(core)
+                out[-1].append(t[:a] + chars[n, core] + t[a + len(core) :])
+            else:
+                out[-1].append(t)
+    return [" ".join(p) for p in out if p]
+
+
+def paragraphs(boxes: DataFrame, key: str = "box_id", text: str = "properties") -> DataFrame:
+    """(key, prop, paragraph_no, text): the repaired texts as continuous paragraphs. JSON objects stay as they are; a text of nothing but headers and page numbers has none."""
+    rows, found = faults(boxes, key, text)
+    kind = rows.schema["key"].dataType.simpleString()
+    # what is gathered are the faults of one text
+    by_text = found.distinct().groupBy(F.col("key").alias("_k"), F.col("prop").alias("_p")).agg(F.collect_list(F.struct("line_no", "kind", "word", "repaired")).alias("found"))
+    both = rows.select("key", "prop", "value").join(by_text, F.col("key").eqNullSafe(F.col("_k")) & (F.col("prop") == F.col("_p")), "left")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, prop, value, got in zip(pdf["key"], pdf["prop"], pdf["value"], pdf["found"]):
+                of = [(x["line_no"], x["kind"], x["word"], x["repaired"]) for x in got] if got is not None else []
+                out += [(k, prop, i, p) for i, p in enumerate([value] if is_record(value) else repaired_text(value, of), 1)]
+            yield pd.DataFrame(out, columns=["key", "prop", "paragraph_no", "text"])
+
+    return both.select("key", "prop", "value", "found").mapInPandas(write, f"key {kind}, prop string, paragraph_no bigint, text string").withColumnRenamed("key", key)
