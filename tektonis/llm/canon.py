@@ -9,7 +9,8 @@ Defined results
     blank value, only fillers   ref_id 0
     no entry near enough        ref_id 0
     ties                        the entry with the lower ref_id
-    very long value             only its tokens of up to 64 characters can match; all of them weigh against an entry
+    very long value or token    as any other; keys are made only for the lengths that reference tokens have
+    null or blank synonym       ignored; one of an unknown entry too
     repeated rows               one result
     empty values or reference   empty result, or ref_id 0 for every value
     extra columns               ignored
@@ -20,13 +21,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tektonis.llm.terms import FILLERS, OTHER, SYNONYMS, WEAK
-from tektonis.runtime import cut, spread
+from tektonis.llm.terms import FILLERS, WEAK
+from tektonis.runtime import cut, python_partitions, spread
 
 _IRI = re.compile(r"^[<\"'\s]*(?:https?://)?(?:www\.)?[\w-]+(?:\.[\w-]+)+/\S*$", re.I)
 _PREFIX = re.compile(r"^\s*(?:[a-z]{0,10}:(?=\S)|(?:fn|function|cat|category|kind|type|class|mat|material)\s*[=:]\s*)", re.I)
@@ -99,15 +101,15 @@ def reference_keys(token: str) -> set[str]:
     return out | {f"p:{token[:k]}" for k in range(3, n)}
 
 
-def query_keys(token: str) -> set[str]:
-    """Keys of a typed token: each piece that a reference token within reach could share with it."""
+def query_keys(token: str, lengths: frozenset[int] | None = None) -> set[str]:
+    """Keys of a typed token: each piece that a reference token within reach could share with it. `lengths` are those of the reference tokens, if they are known."""
     n = len(token)
-    if n > 64:
+    if lengths is not None and n > max(lengths, default=0) + 3:
         return set()
     out = {f"p:{token}"} if n > 2 else set()
     for length in range(max(1, n - 3), n + 4):
         t = reach(length)
-        if abs(length - n) > t:
+        if abs(length - n) > t or lengths is not None and length not in lengths:
             continue
         for i, (a, b) in enumerate(_pieces(length, 2 * t + 1)):
             out |= {f"{length}:{i}:{token[s : s + b - a]}" for s in range(max(0, a - t), min(n - (b - a), a + t) + 1)}
@@ -144,18 +146,15 @@ def _documents(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.select("kind", id_column, F.col(text).alias("text")).mapInPandas(read, _DOCS.format(id=f"`{id_column}`", type=kind))
 
 
-def reference_names(reference: DataFrame) -> DataFrame:
-    """(kind, ref_id, name): labels, local names, synonyms, and the other meanings (ref_id 0) that a value must not be taken for."""
-    spark = reference.sparkSession
-    own = reference.select("kind", "ref_id", F.explode(F.array_compact(F.array("local_name", "label_en", "label_de"))).alias("name"), "local_name")
-    extra = [(k, local, name) for (k, local), names in SYNONYMS.items() for name in names]
-    syn = spark.createDataFrame(extra, "kind string, local_name string, name string")  # the fixed list of terms.py
-    syn = syn.join(reference.select("kind", "local_name", "ref_id"), ["kind", "local_name"]).select("kind", "ref_id", "name")
-    other = spark.createDataFrame([(k, 0, name) for k, names in OTHER.items() for name in names], "kind string, ref_id bigint, name string")
-    out = own.select("kind", "ref_id", "name").unionByName(syn).unionByName(other)
+def reference_names(reference: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """(kind, ref_id, name): labels, local names and, if they are given as (kind, local_name, name), synonyms."""
+    own = reference.select("kind", "ref_id", F.explode(F.array_compact(F.array("local_name", "label_en", "label_de"))).alias("name"))
+    if synonyms is not None:
+        named = synonyms.select("kind", "local_name", "name").where("name IS NOT NULL AND trim(name) <> ''")
+        own = own.unionByName(named.join(reference.select("kind", "local_name", "ref_id"), ["kind", "local_name"]).select("kind", "ref_id", "name"))
     # umlauts are also typed, or lost, as their base letters
-    bare = out.withColumn("name", F.translate("name", "äöüÄÖÜ", "aouAOU"))
-    return out.unionByName(bare).distinct()
+    bare = own.withColumn("name", F.translate("name", "äöüÄÖÜ", "aouAOU"))
+    return own.unionByName(bare).distinct()
 
 
 def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -181,9 +180,11 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
         return run
 
     schema = "kind string, form string, token string, key string"
-    left = docs.select("kind", "form", "token").distinct().mapInPandas(keyed(query_keys), schema).withColumn("key", F.xxhash64("key"))
+    lengths = frozenset(r.n for r in ref.select(F.length("token").alias("n")).distinct().collect())  # one row for each length
+    # so many partitions, or the few bytes of the tokens would be one task
+    left = docs.select("kind", "form", "token").distinct().repartition(python_partitions(docs.sparkSession), "token").mapInPandas(keyed(partial(query_keys, lengths=lengths)), schema).withColumn("key", F.xxhash64("key"))
     right = ref.select("kind", "form", "token").distinct().mapInPandas(keyed(reference_keys), schema).select("kind", "form", F.col("token").alias("meant"), F.xxhash64("key").alias("key"))
-    pairs = left.join(right, ["kind", "form", "key"]).select("kind", "form", "token", "meant").distinct()
+    pairs = left.join(right, ["kind", "form", "key"]).select("kind", "form", "token", "meant").distinct().repartition(python_partitions(docs.sparkSession), "token")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,8 +207,10 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.7) ->
     return top.select("kind", "value", (-F.col("top.neg")).alias("ref_id"), F.col("top.score").alias("score"))
 
 
-def map_to_reference(rows: DataFrame, reference: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows (with columns kind and value) with ref_id added; 0 where no entry of the kind is meant."""
+def map_to_reference(rows: DataFrame, reference: DataFrame, threshold: float = 0.7, synonyms: DataFrame | None = None) -> DataFrame:
+    """The rows (with columns kind and value) with ref_id added; 0 where no entry of the kind is meant.
+
+    `synonyms` is a thesaurus (kind, local_name, name) of further names; without one an entry is found by its own names alone."""
     values = cut(rows.select("kind", "value").where(F.col("value").isNotNull()).distinct())
-    found = match_values(values, reference_names(reference), threshold).select("kind", "value", "ref_id")
+    found = match_values(values, reference_names(reference, synonyms), threshold).select("kind", "value", "ref_id")
     return rows.where(F.col("value").isNotNull()).join(found, ["kind", "value"], "left").na.fill(0, ["ref_id"])

@@ -1,4 +1,6 @@
-"""Words of the building trade that mean an entry of the reference list, and words that look like one but mean something else."""
+"""Remarks in typed values, and a thesaurus of the building trade.
+
+The thesaurus is an input of the queries over the project's tables, no part of the operator, which has none unless one is given."""
 
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ FILLERS = (
 # Words that do not speak against a name that lacks them.
 WEAK = frozenset("layer layers schicht lage material materials the a of and mit und with".split())
 
-# Usual synonyms by (kind, local name).
+# Usual synonyms in English and German by (kind, local name).
 SYNONYMS: dict[tuple[str, str], tuple[str, ...]] = {
     ("function", "AirSpace"): ("air gap", "cavity, unventilated", "cavity", "Luftspalt", "Luftraum", "Hohlraum", "air cavity", "air layer"),
     ("function", "OuterCladding"): ("façade skin", "Verkleidung außen", "external cladding", "Fassadenbekleidung", "Außenverkleidung", "outer skin", "weatherboarding"),
@@ -68,18 +70,3 @@ SYNONYMS: dict[tuple[str, str], tuple[str, ...]] = {
     ("construction", "CofferedCeiling"): ("waffle slab", "Waffeldecke"),
     ("construction", "MushroomColumnSlab"): ("flat slab on flared columns", "Pilzkopfdecke"),
 }
-
-# Things that are near a reference name in spelling or words but are none of the kind.
-OTHER: dict[str, tuple[str, ...]] = {
-    "function": (
-        "root cellar", "fire exit", "wind turbine", "water meter", "air conditioner", "sound recording", "load plan", "kitchen", "storage", "budget item", "handrail", "Brandschutzbeauftragter", "other", "n/a", "tbd",
-        "elevator", "lift shaft", "photovoltaics", "downpipe", "Heizkörper", "surface area", "Luftpumpe", "drainage fee", "vapour cleaner", "Wasserhahn",
-    ),
-    "category": (
-        "Papierkorb", "paper basket", "hardware store", "software", "upholstery", "wallpaper", "paint", "carpet", "Teppich", "glass cleaner", "light switch", "sheet pile", "rubber boots", "unknown", "miscellaneous",
-        "natural gas", "ash bin", "reed bed", "solar cell", "leather", "sail cloth", "furniture", "Glasreiniger", "Gummistiefel", "Lichtschalter", "stone age", "woodpecker",
-    ),
-    "construction": (
-        "concrete bench", "garage door", "timber window", "balcony railing", "brick chimney", "steel stair", "bay window", "Kellertreppe", "Treppenhaus", "gutter", "window sill", "lift machine room", "to be surveyed", "unknown, opened later", "no access", "see survey sheet", "chimney stack",
-    ),
-}

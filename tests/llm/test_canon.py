@@ -33,3 +33,12 @@ def test_map(spark):
     assert got == dict(enumerate([1, 1, 1, 1, 1, 2, 0, 3, 0, 0, 0, 0, 1])) | {51: 4, 52: 0}
     assert canon.map_to_reference(df.limit(0), ref).count() == 0
     assert {r.ref_id for r in canon.map_to_reference(df, ref.limit(0)).collect()} == {0}
+
+
+def test_synonyms_are_an_input(spark):
+    ref = spark.createDataFrame(REF, "ref_id bigint, kind string, local_name string, label_en string, label_de string").selectExpr("*", "concat('https://v/bm#', local_name) AS iri")
+    long = "fernwaermeleitungsdaemmung" * 4  # a name of more than 64 characters
+    more = spark.createDataFrame([("c", "FiredClay", "Backstein"), ("c", "Unknown", "clay brick"), ("c", "FiredClay", None), ("c", "MineralWool", " "), ("c", "MineralWool", long)], "kind string, local_name string, name string")
+    df = spark.createDataFrame([(0, "c", "Backstien"), (1, "c", "Papiergeld"), (2, "c", long[:80] + "x" + long[81:])], "id bigint, kind string, value string")
+    refs = lambda *a: {r.id: r.ref_id for r in canon.map_to_reference(df, ref, *a).collect()}
+    assert refs() == {0: 0, 1: 0, 2: 0} and refs(0.7, more) == {0: 1, 1: 0, 2: 3}
