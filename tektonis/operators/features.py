@@ -61,6 +61,26 @@ def attention_mean(edges: DataFrame, features: DataFrame, node: str, column: str
     return w.groupBy("dst").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(column))
 
 
+def negative_edges(edges: DataFrame, nodes: DataFrame, per: int = 1, seed: str = "neg") -> DataFrame:
+    """(src, dst): for each edge `per` edges to a node drawn by hash, those that exist left out.
+
+    The node's number is a hash of the edge, so any run on any cluster draws the same ones; nodes are (node), numbered in ranges."""
+    numbered = number_distinct(nodes, "node", "_no")
+    n = numbered.count()
+    if n == 0:
+        return edges.select("src", "dst").limit(0)
+    tries = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("_i"))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("_i").cast("string")))), 1, 8), 16, 10).cast("bigint")
+    drawn = tries.select("src", (hashed % n).alias("_no")).distinct().join(numbered, "_no").select("src", F.col("node").alias("dst")).distinct()
+    return drawn.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def link_loss(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """(loss, n): the mean logistic loss of scored edges, labelled 1 where they exist and 0 where they are drawn."""
+    s = F.col(score)
+    return scored.agg(F.avg(F.log1p(F.exp(F.when(F.col(label) == 1, -s).otherwise(s)))).alias("loss"), F.count("*").alias("n"))
+
+
 def number_entities(triples: DataFrame) -> DataFrame:
     """(iri, id): subjects and objects that are nodes, numbered from 0 in code point order of the distinct names."""
     nodes = triples.where("o_kind <> 'literal'").select(F.explode(F.array("s", "o")).alias("iri")).distinct()

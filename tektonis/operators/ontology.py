@@ -1,6 +1,6 @@
 """Subclass reasoning: closure, vocabularies, anchors, and the resolution of category and type.
 
-The closure is a fix-point of distributed joins: the frontier alone is joined in each round, new pairs are found by an anti join, and each round is cut in the checkpoint folder, so cycles end and a lost executor costs one round. Depths are those of the shortest way."""
+The closure is a fix-point of distributed joins: the frontier alone is joined in each round, new pairs are found by an anti join with those of all rounds, and each round is written once to the checkpoint folder, so cycles end and a lost executor costs one round. Depths are those of the shortest way."""
 
 from __future__ import annotations
 
@@ -18,8 +18,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     Rounds go on until no pair is new; where a `max_depth` is given, pairs beyond it are an error."""
     edges = cut(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL AND child <> parent").distinct())
     nodes = edges.select(F.col("child").alias("n")).union(edges.select("parent")).distinct()
-    found = cut(nodes.select(F.col("n").alias("child"), F.col("n").alias("ancestor"), F.lit(0).alias("depth")))
-    frontier = found
+    frontier = found = cut(nodes.select(F.col("n").alias("child"), F.col("n").alias("ancestor"), F.lit(0).alias("depth")))
     for depth in count(1):
         step = frontier.select("child", F.col("ancestor").alias("at")).join(edges.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")), "at")
         new = step.select("child", "ancestor").distinct().join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
@@ -28,7 +27,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
             return found
         if max_depth is not None and depth > max_depth:
             raise ValueError(f"the hierarchy is deeper than {max_depth}")
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     return found
 
 

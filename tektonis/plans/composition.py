@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tektonis.functions import text
 from tektonis.operators import compose, emit, mapper, nested, ontology, triples, validate
 from tektonis.plans.registry import Registry
+from tektonis.runtime import cut
 from tektonis.sources import table
 
 R = Registry()
@@ -139,7 +140,7 @@ def range_audit(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "vocabulary")
     anchors = v.where("kind = 'category'").select(F.col("local_name").alias("iri"), F.col("local_name").alias("anchor"))
     types = v.where("kind = 'material'").select(F.col("local_name").alias("iri"))
-    got = validate.range_audit(_composition(spark, sf), _functions(v), anchors, types, NS + "hasFunction", NS + "hasCategory", NS + "hasType", NS + "Layer")
+    got = validate.range_audit(cut(_composition(spark, sf)), _functions(v), anchors, types, NS + "hasFunction", NS + "hasCategory", NS + "hasType", NS + "Layer")
     return got.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("o").alias("objects"), F.min("s").alias("first"))
 
 
@@ -156,7 +157,7 @@ def shape_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 'violation', s, '{NS}hasMaterial: no {NS}Layer: ' || o FROM g WHERE p = '{NS}hasMaterial'
     UNION ALL SELECT DISTINCT 'violation', s, 'value or unit is missing' FROM g WHERE o = '{NS}Layer' AND NOT (s IN (SELECT s FROM g WHERE p IN ('{NS}hasThickness', '{NS}other')) AND s IN (SELECT s FROM g WHERE p = '{NS}hasMaterial'))""")
 def shape_checks(spark: SparkSession, sf: str) -> DataFrame:
-    g = _composition(spark, sf)
+    g = cut(_composition(spark, sf))  # read by each check
     layers = triples.match(g, p=triples.RDF_TYPE, o=NS + "Layer")
     parts = [
         validate.mixed_types(g, [NS + "LayerSet", "MultiLayer"]),

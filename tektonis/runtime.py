@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 def session(app: str = "tektonis", **conf: str) -> SparkSession:
     """The active session, or a new one with adaptive execution and UTC time."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # folders of checkpoints that nothing refers to any more are deleted
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one only where the setting is absent (tests)."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode (tests); on a cluster an error, since other machines couldn't read it."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not at and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
     sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tektonis-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -33,12 +33,14 @@ def counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 
 
 def network_html(nodes: DataFrame, edges: DataFrame, path: str, most: int = 5000) -> int:
-    """A page that draws a graph; ValueError above `most` nodes, which no browser would draw."""
+    """A page that draws a graph; ValueError above `most` nodes or ten times as many edges, which no browser would draw."""
     n = [r.asDict() for r in nodes.limit(most + 1).collect()]
     if len(n) > most:
         raise ValueError(f"more than {most} nodes")
     keep = nodes.select(F.col("id").alias("src"))
-    e = [r.asDict() for r in edges.join(keep, "src", "left_semi").limit(most * 10).collect()]
+    e = [r.asDict() for r in edges.join(keep, "src", "left_semi").limit(most * 10 + 1).collect()]
+    if len(e) > most * 10:
+        raise ValueError(f"more than {most * 10} edges")
     body = f"<!doctype html><meta charset=utf-8><title>graph</title><script>const nodes={json.dumps(n)},edges={json.dumps(e)};</script><pre id=g></pre><script>g.textContent=edges.map(e=>`${{e.src}} -${{e.label}}-> ${{e.dst}}`).join('\\n')</script>"
     Path(path).write_text(body, encoding="utf-8")
     return len(n)

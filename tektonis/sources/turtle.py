@@ -170,15 +170,34 @@ def read_turtle(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.mapInPandas(parse, SCHEMA).distinct()
 
 
+_NT_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"[^"\\]*+(?:\\.[^"\\]*+)*+")(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?\s*\.\s*$'
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples, line by line in the JVM; lines that are no triple are left out."""
-    pattern = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?\s*\.\s*$'
+    """N-Triples, line by line in the JVM, escapes undone; lines that are no triple are those of ntriples_rejects."""
+    pattern = _NT_LINE
     part = lambda n: F.regexp_extract("value", pattern, n)
+    plain = lambda c: F.from_json(F.concat(F.lit('["'), F.replace(c, F.lit("\\'"), F.lit("'")), F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})[0]
     term = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.regexp_replace(c, r'^[<"]|[>"]$', ""))
     o = part(3)
     kind = F.when(F.startswith(o, F.lit("<")), "iri").when(F.startswith(o, F.lit('"')), "literal").otherwise("bnode")
     rows = spark.read.text(path).where(F.rlike("value", F.lit(pattern)))
-    return rows.select(term(part(1)).alias("s"), part(2).alias("p"), term(o).alias("o"), kind.alias("o_kind"), F.nullif(part(4), F.lit("")).alias("o_lang"), F.nullif(part(5), F.lit("")).alias("o_dt")).distinct()
+
+    @F.pandas_udf("string")
+    def rare(values: pd.Series) -> pd.Series:
+        return values.map(_unescape)
+
+    # the escapes of JSON, but for those of eight figures
+    body = term(o)
+    far = F.contains(o, F.lit("\\U"))
+    short = rows.where(~far).withColumn("_o", F.when(F.contains(o, F.lit("\\")), plain(body)).otherwise(body))
+    rows = short.unionByName(rows.where(far).withColumn("_o", rare(body)))
+    return rows.select(term(part(1)).alias("s"), part(2).alias("p"), F.col("_o").alias("o"), kind.alias("o_kind"), F.nullif(part(4), F.lit("")).alias("o_lang"), F.nullif(part(5), F.lit("")).alias("o_dt")).distinct()
+
+
+def ntriples_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of N-Triples that are neither a triple, a comment nor blank."""
+    return spark.read.text(path).where(~F.rlike("value", F.lit(_NT_LINE)) & ~F.rlike("value", F.lit(r"^\s*(#.*)?$")))
 
 
 def turtle_lines(g: DataFrame) -> DataFrame:

@@ -43,11 +43,16 @@ def staged(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"stage": stage, "stage_suffix": lca.stage_suffix(stage), "activity": lca.activity(F.col("activity_type")), "unit": lca.unit(F.col("techflow_unit"))})
 
 
-def carry_forward(lines: DataFrame, doc: str, key: str, value: str) -> DataFrame:
-    """(doc, key, value) in order of arrival: a line without a key belongs to the last key of its document, which is kept as state."""
+def carry_forward(lines: DataFrame, doc: str, key: str, value: str, idle_minutes: int | None = None) -> DataFrame:
+    """(doc, key, value) in order of arrival: a line without a key belongs to the last key of its document, which is kept as state.
+
+    State is dropped once no line has come for `idle_minutes`; it is kept for ever where none is given. A query with that timeout runs batches also without new data, so it must be run with a processing-time trigger and never ends by itself."""
     kind = lines.schema[doc].dataType.simpleString()
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         for pdf in batches:
             rows = []
@@ -57,5 +62,7 @@ def carry_forward(lines: DataFrame, doc: str, key: str, value: str) -> DataFrame
                     rows.append((k[0], last, b))
             yield pd.DataFrame(rows, columns=[doc, "key", "value"])
         state.update((last,))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
 
-    return lines.groupBy(doc).applyInPandasWithState(step, f"`{doc}` {kind}, key string, value string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy(doc).applyInPandasWithState(step, f"`{doc}` {kind}, key string, value string", "last string", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,7 +1,7 @@
 import pytest
 
 from tektonis.operators import triples
-from tektonis.sources import files, turtle
+from tektonis.sources import files, sinks, turtle
 
 DOC = """@prefix : <http://x/#> . @prefix ex: <http://x/e/> .
 @base <http://b/> .
@@ -62,3 +62,18 @@ def test_files(spark, tmp_path):
     assert files.select_case(cases, "place", 2).collect()[0].id == "b" and files.select_case(cases, "place", case_id="a").count() == 1
     with pytest.raises(IndexError):
         files.select_case(cases, "place", 3)
+
+
+def test_ntriples_escapes_and_rejects(spark, tmp_path):
+    lines = [r'<http://e/a> <http://e/p> "q\"u\\o\te\u00e4\'s" .', r'<http://e/b> <http://e/p> "far \U0001F600 and \n near"@de-AT .', "# note", "", "no triple", r'<http://e/c> <http://e/p> "' + "x" * 50_000 + '" .']
+    (tmp_path / "g.nt").write_text("\n".join(lines), encoding="utf-8")
+    got = {r.s: (r.o, r.o_lang) for r in turtle.read_ntriples(spark, str(tmp_path / "g.nt")).collect()}
+    assert got == {"http://e/a": ('q"u\\o\teä\'s', None), "http://e/b": ("far \U0001F600 and \n near", "de-AT"), "http://e/c": ("x" * 50_000, None)}
+    assert [r.value for r in turtle.ntriples_rejects(spark, str(tmp_path / "g.nt")).collect()] == ["no triple"]
+
+
+def test_too_many_edges(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "x")], "id string, label string")
+    edges = spark.createDataFrame([("a", f"b{i}", "p") for i in range(12)], "src string, dst string, label string")
+    with pytest.raises(ValueError):
+        sinks.network_html(nodes, edges, str(tmp_path / "g.html"), most=1)
