@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -197,10 +198,23 @@ def leaked(item: str, starts: list[int], doc: str, share: float = 0.5, altered:
     return len(words) <= max(1, altered * n)
 
 
+@lru_cache(4096)
+def _item_grams(item: str, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The q-grams of an item, in order and sorted."""
+    g = gram_hashes(codes(item), q)
+    return g, np.sort(g)
+
+
+@lru_cache(8)  # pairs come in order of their documents
+def _doc_grams(doc: str, q: int) -> tuple[np.ndarray, np.ndarray]:
+    d = gram_hashes(codes(doc), q)
+    return d, np.unique(d)
+
+
 def dense_parts(item: str, doc: str, least: float = 0.6) -> Iterator[str]:
     """The parts of a document in which a stretch of half the item can lie, by the share of q-grams in common; one that goes on and on is given in overlapping pieces."""
     q = gram_size(len(item))
-    g, d = gram_hashes(codes(item), q), gram_hashes(codes(doc), q)
+    (g, own), (d, mine) = _item_grams(item, q), _doc_grams(doc, q)
     if not len(g) or not len(d):
         if item in doc:
             yield item
@@ -209,7 +223,10 @@ def dense_parts(item: str, doc: str, least: float = 0.6) -> Iterator[str]:
     width = max(1, half - q)
     if q < 6:  # one edit of two characters breaks so many of the few q-grams of a short stretch
         least = max(0.2, 1 - (q + 1) / max(1, half - q + 1))
-    own = np.sort(g)
+    at = np.searchsorted(mine, g)
+    at[at == len(mine)] = 0
+    if not len(dense(mine[at] == g, width, least)):
+        return
     at = np.searchsorted(own, d)
     at[at == len(own)] = 0
     where = dense(own[at] == d, width, least)
