@@ -447,7 +447,7 @@ def candidates(lex: DataFrame, queries: DataFrame, frequent: int = 5, ratio: flo
     right = good.repartition(parts, "word").mapInPandas(keys, "word string, n bigint, k string").select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.xxhash64("k").alias("k"))
     near = F.abs(F.length("word") - F.length("meant")) <= 2
     pairs = left.join(right, "k").where((F.col("word") != F.col("meant")) & near & (F.col("meant_n") >= F.col("n") * ratio)).select("word", "n", "meant", "meant_n").distinct()
-    pairs = cut(pairs)
+    pairs = cut(pairs.repartition(parts, "word"))  # as above: few bytes, much work
     costs = _COST | (learned_costs(pairs, good) if learn else {})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
