@@ -269,13 +269,15 @@ ENERGY_ROOTS = (*nested.BUILDING["roots"], "energy_need_for_heating", "energy")
       coalesce(json_extract_string(payload, '$.energy_need_for_heating.advanced_refurbishment.total'), CASE WHEN json_type(payload, '$.energy_need_for_heating.advanced_refurbishment') <> 'OBJECT' THEN json_extract_string(payload, '$.energy_need_for_heating.advanced_refurbishment') END) AS advanced FROM b)
     SELECT record_id, id, size_class, TRY_CAST(existing AS DOUBLE) AS existing, TRY_CAST(advanced AS DOUBLE) AS advanced FROM h""")
 def building_energy(spark: SparkSession, sf: str) -> DataFrame:
-    """Header and energy figures of each record of each payload, however it is wrapped: two layouts, and a total that is a figure or an object. SQL reads bare objects alone."""
+    """Header and energy figures of each record of each payload, however it is wrapped: two layouts, and a total that is a figure or an object. SQL reads bare objects alone, and of the second layout neither `existing` nor the advanced figure."""
     b = nested.unwrapped(table(spark, sf, "building_records"), "record_id", "payload", ENERGY_ROOTS).withColumn("v", F.try_parse_json("record")).where("v IS NOT NULL")
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    need, states = "$.energy_need_for_heating.", "$.energy.heating_demand.states."
+    first = lambda *paths: F.coalesce(*[get(p, "double") for p in paths])
     return b.select(
         "record_id",
         get("$.building.id").alias("id"),
         get("$.building.size_class").alias("size_class"),
-        F.coalesce(get("$.energy_need_for_heating.existing_state", "double"), get("$.energy.heating_demand.states.existing_state", "double")).alias("existing"),
-        F.coalesce(get("$.energy_need_for_heating.advanced_refurbishment.total", "double"), get("$.energy_need_for_heating.advanced_refurbishment", "double")).alias("advanced"),
+        first(need + "existing_state", states + "existing_state", states + "existing").alias("existing"),
+        first(*[at + "advanced_refurbishment" + total for at in (need, states) for total in (".total", "")]).alias("advanced"),
     )

@@ -57,6 +57,13 @@ def test_energy_of_wrapped_records(spark, tables):
     assert got == [(1, *first), (2, *first), (3, *first), (4, *first), (5, *first), (5, *second), (6, *second), (9, None, None, None, None)]
 
 
+def test_energy_of_both_layouts(spark, tables):
+    states = [{"existing": 129.2, "advanced_refurbishment": {"total": 46.6, "components": {"heating": 21.4}}}, {"existing_state": 90, "advanced_refurbishment": 30.5}, {"existing_state": 80, "advanced_refurbishment": {"components": {"heating": 1}}}]
+    df = spark.createDataFrame([(i, json.dumps({"building": {"id": "B", "size_class": "AB"}, "energy": {"heating_demand": {"states": s}}})) for i, s in enumerate(states, 1)], "record_id bigint, payload string")
+    got = sorted((r.record_id, r.existing, r.advanced) for r in tables("building_energy", building_records=df).collect())
+    assert got == [(1, 129.2, 46.6), (2, 90.0, 30.5), (3, 80.0, None)]
+
+
 def test_flat_tables_of_renovations(spark, tables):
     df = floors(spark)
     rows = lambda name: sorted(map(tuple, tables(name, tabula_floor_renovation=df).collect()))
